@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SIZE = 0x110000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -50,7 +51,7 @@ def utf8_widths(cps: np.ndarray) -> np.ndarray:
 
 def slices(column: pa.Array, limit: int = 1 << 21):
     """Yield (first row, last row + 1) so that each slice holds about ``limit`` bytes of text, and one row at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     ends, begin = np.cumsum(sizes), 0
     while begin < len(sizes):
         base = ends[begin - 1] if begin else 0

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import mixture, repetition, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p7_ids": tokens.p7_ids,
+        "p8_mixture": mixture.p8_mixture,
+        "p8_shares": mixture.p8_shares,
+        "p9_found": repetition.p9_found,
+        "p9_repetition": repetition.p9_repetition,
+        "p9_lines": repetition.p9_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**repetition.SQL}
