@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixture, repetition, tokens
+from . import knn, mixture, neardup, repetition, splitting, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": splitting.p2_found,
+        "p2_pieces": splitting.p2_pieces,
+        "p3_found": neardup.p3_found,
+        "p3_groups": neardup.p3_groups,
+        "p5_found": knn.p5_found,
+        "p5_knn": knn.p5_knn,
         "p7_ids": tokens.p7_ids,
         "p8_mixture": mixture.p8_mixture,
         "p8_shares": mixture.p8_shares,
@@ -21,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**repetition.SQL}
+    return {**splitting.SQL, **neardup.SQL, **knn.SQL, **repetition.SQL}
