@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, mixture, neardup, repetition, splitting, tokens
+from . import knn, mixture, neardup, ranking, repetition, splitting, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_ranking": ranking.p1_ranking,
+        "p1_agreement": ranking.p1_agreement,
         "p2_found": splitting.p2_found,
         "p2_pieces": splitting.p2_pieces,
         "p3_found": neardup.p3_found,
