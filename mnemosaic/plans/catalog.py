@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import changefeed, orphans
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "p4_found": changefeed.p4_found,
+        "p4_state": changefeed.p4_state,
+        "p6_found": orphans.p6_found,
+        "p6_report": orphans.p6_report,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**changefeed.SQL, **orphans.SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
