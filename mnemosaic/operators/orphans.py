@@ -143,19 +143,19 @@ direct_edges AS (SELECT e.* FROM edge_refs e LEFT JOIN (SELECT id, min(ingested_
   WHERE NOT coalesce(born <= recorded_at, false) OR coalesce(died <= recorded_at, false)),
 connects AS (SELECT command_id, coalesce(id1, from_id) AS src, coalesce(id2, to_id) AS dst, recorded_at FROM replay_log WHERE lower(regexp_replace(op, '^\s+|\s+$', '', 'g')) = 'connect'),
 ends AS (SELECT DISTINCT command_id, src, 'id1' AS ref_field, src AS ref_id FROM connects WHERE src IS NOT NULL UNION ALL SELECT DISTINCT command_id, src, 'id2', dst FROM connects WHERE dst IS NOT NULL),
-timeline AS (SELECT ref_id AS id, command_id * 2 - 1 AS at, NULL AS code, command_id, ref_field, src FROM ends UNION ALL SELECT DISTINCT id, code // 2 * 2, code, NULL, NULL, NULL FROM effects),
-seen AS (SELECT *, max(code) OVER (PARTITION BY id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM timeline),
+timeline AS (SELECT ref_id AS id, command_id * 2 - 1 AS moment, NULL AS code, command_id, ref_field, src FROM ends UNION ALL SELECT DISTINCT id, code // 2 * 2, code, NULL, NULL, NULL FROM effects),
+seen AS (SELECT *, max(code) OVER (PARTITION BY id ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM timeline),
 direct_log AS (SELECT DISTINCT command_id, ref_field, id AS ref_id, src FROM seen WHERE ref_field IS NOT NULL AND coalesce(last % 2, 0) = 0)"""
 
 SQL = {
     "p6_found": f"""WITH {_DIRECT_SQL}
 SELECT DISTINCT 'edges' AS table_name, edge_id AS record_id, 'dst' AS ref_field, dst AS ref_id FROM direct_edges
 UNION ALL SELECT 'replay_log', command_id, ref_field, ref_id FROM direct_log""",
-    "p6_report": f"""WITH RECURSIVE {_DIRECT_SQL},
+    "p6_report": f"""WITH {_DIRECT_SQL},
 direct AS (SELECT DISTINCT 'edges' AS t, edge_id AS rec, src AS owner FROM direct_edges UNION SELECT 'replay_log', command_id, src FROM direct_log),
 refs AS (SELECT DISTINCT 'edges' AS t, edge_id AS rec, src AS owner, dst AS ref FROM edges UNION SELECT 'replay_log', command_id, src, dst FROM connects),
 other AS (SELECT * FROM refs r WHERE owner IS NOT NULL AND ref IS NOT NULL AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.t = r.t AND d.rec = r.rec)),
-bad AS (SELECT t, owner AS id FROM direct WHERE owner IS NOT NULL UNION SELECT o.t, o.owner FROM other o JOIN bad ON bad.t = o.t AND bad.id = o.ref),
+bad AS (WITH RECURSIVE b AS (SELECT t, owner AS id FROM direct WHERE owner IS NOT NULL UNION SELECT o.t, o.owner FROM other o JOIN b ON b.t = o.t AND b.id = o.ref) SELECT * FROM b),
 kinds AS (SELECT DISTINCT t, rec, 'direct' AS kind FROM direct UNION ALL SELECT DISTINCT o.t, o.rec, 'inherited' FROM other o JOIN bad ON bad.t = o.t AND bad.id = o.ref),
 times AS (SELECT 'edges' AS t, edge_id AS rec, min(recorded_at) AS ts FROM edges GROUP BY edge_id UNION ALL SELECT 'replay_log', command_id, min(recorded_at) FROM connects GROUP BY command_id)
 SELECT t AS table_name, strftime(ts, '%Y-%m') AS month, count(*) FILTER (kind = 'direct') AS direct, count(*) FILTER (kind = 'inherited') AS inherited FROM kinds JOIN times USING (t, rec) GROUP BY 1, 2""",
