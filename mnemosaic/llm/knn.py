@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, read_table, skew_safe_join
+from .sampling import bounded_sample
 
 SAMPLE = 16_384  # vectors the partitions and the network are fitted on
 PARTITION_ROWS = 2_000  # rows aimed at in a partition, as far as the sample can tell partitions apart
@@ -292,7 +293,7 @@ def nearest(vectors: DataFrame, k: int = 5, probes: int = 10, asks: Column | Non
     entries = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("asks").alias("asks"), F.first("embedding").alias("vector"))
     entries = materialize(entries, "vectors")
     count = entries.count()
-    sample = entries.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toArrow()
+    sample = bounded_sample(entries.select("rep", "vector"), "rep", count, SAMPLE).select("vector").toArrow()
     router = fit(unit(_matrix(sample["vector"])) if sample.num_rows else np.empty((0, size), np.float32), count)
 
     pairs = _ranked_pairs(entries, router, probes, k, least)

@@ -17,7 +17,7 @@ similarity of 0.7: it would need partitions of two symbols, which nearly all
 pairs share. So the pigeonhole's budget is one of probability.) The estimate takes the
 agreement of symbols among a bounded sample; everything else covers all rows.
 
-Pairs that meet in a partition are compared by a 64-bit sketch and by size,
+Pairs that meet in a partition are compared by a sketch of 128 bits and by size,
 and the survivors exactly, by their tokens. Exact copies of a content are one
 class throughout and probed once.
 """
@@ -37,9 +37,12 @@ from ..runtime import materialize, read_table, skew_safe_join
 from .codepoints import list_array, slices
 from .components import components
 from .repetition import mix, words_of
+from .sampling import bounded_sample
 
 SAMPLE = 2000  # contents for the estimate of candidate counts
-SKETCH_CUT = 21  # bits of 64 that may differ; at 0.7 each differs with 0.15, so this loses one pair in 10 000
+SKETCH_BITS = 128
+SKETCH_CUT = 34  # bits that may differ; at a similarity of 0.7 each differs with 0.15, so this loses two pairs in 10 000
+PAIR_COST = 0.02  # what comparing two sketches that met costs, against shuffling and sorting a row
 ALL_PAIRS = 4096  # two classes of copies with more pairs than this are linked through their representatives
 SALT_ROWS = 20_000  # members of a class in one join task
 
@@ -63,7 +66,7 @@ class Partition:
         return whole + self.width * j ** (self.width - 1) * (1 - j) if self.threshold else whole
 
 
-def allocate(n: int, similarities: np.ndarray, least: float, miss: float, pair_cost: float = 2.0, most_keys: int = 96) -> list[Partition]:
+def allocate(n: int, similarities: np.ndarray, least: float, miss: float, pair_cost: float = PAIR_COST, most_keys: int = 96) -> list[Partition]:
     """Partitions with thresholds for ``n`` contents, by dynamic programming.
 
     ``similarities`` are those of random pairs. State: how much of the budget
@@ -121,10 +124,10 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def partition_keys(tokens: np.ndarray, counts: np.ndarray, plan: list[Partition]) -> tuple[np.ndarray, np.ndarray]:
-    """(sketch of each text, its keys as a row for each key)."""
-    bits = mix(symbols(tokens, counts, range(64))) & np.uint64(1)
-    sketch = np.bitwise_or.reduce(bits << np.arange(64, dtype=np.uint64)[:, None], 0)
-    keys, k = [], 64
+    """(words of the sketch of each text, its keys), a row for each word and each key."""
+    bits = mix(symbols(tokens, counts, range(SKETCH_BITS))) & np.uint64(1)
+    sketch = np.bitwise_or.reduce((bits << np.tile(np.arange(64, dtype=np.uint64), SKETCH_BITS // 64)[:, None]).reshape(SKETCH_BITS // 64, 64, -1), 1)
+    keys, k = [], SKETCH_BITS
     for number, p in enumerate(plan):
         s = symbols(tokens, counts, range(k, k + p.width))
         k += p.width
@@ -160,7 +163,7 @@ def class_table(contents: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
 def plan_partitions(classes: DataFrame, least: float, miss: float) -> list[Partition]:
     """Thresholds for these contents. The sample has at most SAMPLE contents, chosen by a hash of their ids."""
     n = classes.count()
-    sample = [r[0] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("tokens").collect()]
+    sample = [r[0] for r in bounded_sample(classes.select("rep", "tokens"), "rep", n, SAMPLE).select("tokens").collect()]
     if len(sample) < 2:
         return [Partition(3, 0)]
     counts = np.fromiter(map(len, sample), np.int64, len(sample))
@@ -184,14 +187,14 @@ def similar_classes(classes: DataFrame, least: float, miss: float) -> DataFrame:
                 sketch, keys = partition_keys(tokens, counts, plan)
                 many = np.tile(np.arange(part.num_rows), len(keys))
                 take = pa.array(many)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(sketch.view(np.int64)[many])], names=["key", "rep", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(0).take(take), part.column(1).take(take), *(pa.array(w.view(np.int64)[many]) for w in sketch)], names=["key", "rep", "n", "s0", "s1"])
 
-    probes = classes.select("rep", "n", "tokens").mapInArrow(run, "key long, rep long, n int, sketch long")
-    a, b = (probes.select("key", *(F.col(c).alias(c + s) for c in ("rep", "n", "sketch"))) for s in "ab")
+    probes = classes.select("rep", "n", "tokens").mapInArrow(run, "key long, rep long, n int, s0 long, s1 long")
+    a, b = (probes.select("key", *(F.col(c).alias(c + s) for c in ("rep", "n", "s0", "s1"))) for s in "ab")
     ratio = round(least * 1000)
     near = (
         (F.col("repa") < F.col("repb"))
-        & (F.bit_count(F.col("sketcha").bitwiseXOR(F.col("sketchb"))) <= SKETCH_CUT)
+        & (F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))) + F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) <= SKETCH_CUT)
         & (F.col("na") * 1000 >= F.col("nb") * ratio)
         & (F.col("nb") * 1000 >= F.col("na") * ratio)
     )
