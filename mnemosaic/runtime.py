@@ -12,7 +12,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more rows than this and more than 1/HOT_SHARE of the table; so there are at most HOT_SHARE hot keys.
@@ -116,6 +116,16 @@ def skew_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "left
     return left.where(~is_hot).join(right, key, how).unionByName(left.where(is_hot).join(few, key, how))
 
 
+def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
+    """Add ``name``: first, first + 1, ... in the order of the columns ``order``, by a range sort and the sizes of its partitions."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sizes = sizes.select("__pid", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    inner = F.row_number().over(Window.partitionBy("__pid").orderBy(*order))
+    return ranged.join(broadcast_if_below(sizes, 100_000), "__pid").withColumn(name, inner + F.col("__ahead") + F.lit(first - 1)).drop("__pid", "__ahead")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
