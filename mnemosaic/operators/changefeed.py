@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import fs_delete, fs_of, materialize, scratch_path
+from ..runtime import fs_delete, fs_of, fs_text, materialize, scratch_path
 from ..sources.commands import log_commands, wal_commands
 
 ROWS_PER_BUCKET = 250_000
@@ -75,8 +75,7 @@ class BucketedTable:
             version = max(self.versions(), default=None)
         if version is None:
             return None
-        text = "\n".join(r[0] for r in self.spark.read.text(self._manifest_path(version)).collect())
-        m = json.loads(text)
+        m = json.loads(fs_text(self.spark, self._manifest_path(version)))
         return Manifest(m["version"], m["n_buckets"], T.StructType.fromJson(m["schema"]), {int(b): d for b, d in m["buckets"].items()})
 
     def _commit(self, m: Manifest) -> None:

@@ -79,6 +79,18 @@ def fs_delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def fs_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    fs, p = fs_of(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -11,7 +11,7 @@ MEMORY_SCHEMA = T.StructType(
         T.StructField("id", T.LongType(), False),
         T.StructField("collection", T.StringType(), False),
         T.StructField("content", T.BinaryType(), False),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("metadata", T.MapType(T.StringType(), T.StringType()), False),
         T.StructField("created_at", T.LongType(), False),
         T.StructField("importance", T.FloatType(), False),
