@@ -239,13 +239,14 @@ def _ranked_pairs(entries: DataFrame, router: Router, probes: int, k: int, least
         raw = _matrix(table["vector"])
         x = unit(raw)
         index, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        index = index[np.argsort(rep[index], kind="stable")]
         found_q, found_n = [], []
         for a in range(0, len(query) if len(index) else 0, 1024):
             q = query[a : a + 1024]
             s = x[q] @ x[index].T
-            own = np.searchsorted(index, q)
+            own = np.searchsorted(rep[index], rep[q])
             own[own == len(index)] = 0
-            mine = index[own] == q
+            mine = rep[index[own]] == rep[q]
             s[np.flatnonzero(mine), own[mine]] = -2
             if least is not None:
                 r, c = np.nonzero(s >= least - 1e-5)

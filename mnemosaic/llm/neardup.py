@@ -71,9 +71,10 @@ def allocate(n: int, similarities: np.ndarray, least: float, miss: float, pair_c
 
     ``similarities`` are those of random pairs. State: how much of the budget
     -ln(miss) is filled; value: rows to shuffle plus ``pair_cost`` times the
-    estimated candidates.
+    estimated candidates. Gains are rounded down, so the budget holds.
     """
-    need, steps = -math.log(miss), 240
+    need, steps = -math.log(miss), 960
+    similarities = similarities if len(similarities) else np.zeros(1)
     choices = []
     for width in range(3, 13):
         for threshold in (0, 1):
@@ -87,8 +88,8 @@ def allocate(n: int, similarities: np.ndarray, least: float, miss: float, pair_c
         if value == math.inf:
             continue
         for k, (p, gain, cost) in enumerate(choices):
-            to = min(steps, filled + max(1, math.floor(gain)))
-            if keys + p.keys <= most_keys and value + cost < best[to][0]:
+            to = min(steps, filled + math.floor(gain))
+            if to > filled and keys + p.keys <= most_keys and value + cost < best[to][0]:
                 best[to] = (value + cost, keys + p.keys, (*chosen, k))
     if best[steps][0] == math.inf:
         return allocate(n, similarities, least, miss, pair_cost, most_keys * 2)
