@@ -302,7 +302,7 @@ def nearest(vectors: DataFrame, k: int = 5, probes: int = 10, asks: Column | Non
 
     # From entries to ids: of an entry only its first k + 1 ids can be among anyone's k nearest.
     members = rows.select("id", "h1", "h2", "asks").distinct()
-    members = skew_safe_join(members.withColumn("h", F.struct("h1", "h2")), entries.select(F.struct("h1", "h2").alias("h"), "rep"), "h", "inner").select("id", "rep", "asks")
+    members = skew_safe_join(members.withColumn("h", F.concat_ws(" ", "h1", "h2")), entries.select(F.concat_ws(" ", "h1", "h2").alias("h"), "rep"), "h", "inner").select("id", "rep", "asks")
     members = materialize(members, "members")
     first = members.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("at") <= k + 1).select(F.col("rep").alias("n"), F.col("id").alias("neighbour_id"), "at")
     own = entries.where("asks").select(F.col("rep").alias("q"), F.col("rep").alias("n"), F.lit(2.0).alias("cosine"))

@@ -143,8 +143,8 @@ def partition_keys(tokens: np.ndarray, counts: np.ndarray, plan: list[Partition]
 def class_table(contents: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(members, classes): id and hash of each content; a row for each distinct eligible content, with its tokens."""
     text = contents.select("id", "content").where(F.col("id").isNotNull() & F.is_valid_utf8(F.col("content").cast("string")))
-    members = text.select("id", F.unhex(F.md5("content")).alias("hash"))
-    whole = text.groupBy(F.unhex(F.md5("content")).alias("hash")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("content").alias("content"))
+    members = text.select("id", F.md5("content").alias("hash"))
+    whole = text.groupBy(F.md5("content").alias("hash")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("content").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +157,7 @@ def class_table(contents: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
                 head = [batch.column(c).take(keep) for c in ("rep", "hash", "copies")]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(counts[long], pa.int32()), list_array(values, counts[long], pa.int64())], names=["rep", "hash", "copies", "n", "tokens"])
 
-    classes = whole.select("rep", "hash", "copies", "content").mapInArrow(run, "rep long, hash binary, copies long, n int, tokens array<long>")
+    classes = whole.select("rep", "hash", "copies", "content").mapInArrow(run, "rep long, hash string, copies long, n int, tokens array<long>")
     return members, materialize(classes, "bags")
 
 

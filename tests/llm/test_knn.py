@@ -92,3 +92,12 @@ def test_partitions_are_balanced_and_recall_is_high(spark, monkeypatch):
     np.fill_diagonal(s, -2)
     hit = sum(len({*np.argsort(-s[i])[:5].tolist()} & {*v}) for i, v in got.items())
     assert len(got) == 120 and hit / 600 >= 0.9
+
+
+def test_hot_copies(spark, monkeypatch):
+    from mnemosaic import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 3)
+    rows = rows_of(np.random.default_rng(5), 10)
+    rows += [(100 + k, rows[0][1]) for k in range(7)]
+    assert lists(K.nearest(table(spark, rows), k=5, size=8)) == brute(rows, 5, 8)

@@ -100,3 +100,11 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == label
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_classes(spark, monkeypatch):
+    from mnemosaic import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 2)
+    text = " ".join(f"a{i}" for i in range(30)).encode()
+    assert len(found(spark, [(i, text) for i in range(6)] + [(9, text + b" more")])) == 21
