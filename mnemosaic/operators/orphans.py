@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import HOT_ROWS, materialize, read_table, skew_safe_join
+from ..runtime import hot_keys, materialize, read_table, skew_safe_join
 from ..sources.commands import log_commands, wal_commands
 from .changefeed import COMMANDS_SQL
 
@@ -19,7 +19,7 @@ from .changefeed import COMMANDS_SQL
 COMMAND_BLOCK = 65_536
 
 
-def edge_orphans(edges: DataFrame, memories: DataFrame, tombstones: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def edge_orphans(edges: DataFrame, memories: DataFrame, tombstones: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """(record_id, ref_field, ref_id, owner, recorded_at) of edges whose ``dst`` does not exist at their time.
 
     A memory exists from its first ``ingested_at`` until its first
@@ -76,7 +76,7 @@ def log_orphans(log: DataFrame, commands: DataFrame, block: int = COMMAND_BLOCK)
     return found.select(F.col("command_id").alias("record_id"), "ref_field", "ref_id", "owner", "recorded_at")
 
 
-def inherited(references: DataFrame, direct: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def inherited(references: DataFrame, direct: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """(record_id, level) of the references that are orphaned only through others.
 
     ``references`` has record_id, owner and ref_id, ``direct`` record_id and
@@ -86,20 +86,17 @@ def inherited(references: DataFrame, direct: DataFrame, hot_rows: int = HOT_ROWS
     """
     refs = references.where("owner IS NOT NULL AND ref_id IS NOT NULL").select("record_id", "owner", "ref_id").distinct()
     refs = materialize(refs.join(direct.select("record_id").distinct(), "record_id", "left_anti"), "references")
-    level, front = 0, materialize(direct.where("owner IS NOT NULL").select(F.col("owner").alias("ref_id")).distinct(), "front")
-    done, found = front, []
+    hot = hot_keys(refs, "ref_id", hot_rows)
+    front = materialize(direct.where("owner IS NOT NULL").select(F.col("owner").alias("ref_id")).distinct(), "front")
+    done, out, level = front, None, 0
     while front.limit(1).count():
         level += 1
-        hit = materialize(skew_safe_join(refs, front, "ref_id", "inner", hot_rows).withColumn("level", F.lit(level)), "level")
-        found.append(hit)
-        fresh = hit.select(F.col("owner").alias("ref_id")).distinct().join(done, "ref_id", "left_anti")
-        front = materialize(fresh, "front")
-        done = materialize(done.unionByName(front), "done")
-    if not found:
+        hit = materialize(skew_safe_join(refs, front, "ref_id", "inner", hot=hot).withColumn("level", F.lit(level)), "level")
+        out = hit if out is None else out.unionByName(hit)
+        front = materialize(hit.select(F.col("owner").alias("ref_id")).distinct().join(done, "ref_id", "left_anti"), "front")
+        done = done.unionByName(front)
+    if out is None:
         return refs.limit(0).select("record_id", F.lit(0).alias("level"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
     return out.groupBy("record_id").agg(F.min("level").alias("level"))
 
 
@@ -122,17 +119,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with direct and with inherited orphan references, by table and month of ``recorded_at``."""
     edges, log, direct_edges, direct_log = _inputs(spark, sf_dir)
-    parts = []
-    for name, direct, refs in (
-        ("edges", direct_edges, edges.select(F.col("edge_id").alias("record_id"), F.col("src").alias("owner"), F.col("dst").alias("ref_id"), "recorded_at")),
-        ("replay_log", direct_log, log.where("op = 'connect'").select(F.col("command_id").alias("record_id"), F.col("src").alias("owner"), F.col("dst").alias("ref_id"), "recorded_at")),
-    ):
-        direct = materialize(direct, "direct")
-        times = refs.groupBy("record_id").agg(F.min("recorded_at").alias("recorded_at"))
-        kinds = direct.select("record_id").distinct().withColumn("kind", F.lit("direct")).unionByName(inherited(refs, direct).select("record_id", F.lit("inherited").alias("kind")))
-        month = F.date_format("recorded_at", "yyyy-MM")
-        parts.append(kinds.join(times, "record_id").groupBy(F.lit(name).alias("table_name"), month.alias("month")).agg(F.count_if(F.col("kind") == "direct").alias("direct"), F.count_if(F.col("kind") == "inherited").alias("inherited")))
-    return parts[0].unionByName(parts[1])
+    of_edges = edges.select(F.col("edge_id").alias("record_id"), F.col("src").alias("owner"), F.col("dst").alias("ref_id"), "recorded_at")
+    of_log = log.where("op = 'connect'").select(F.col("command_id").alias("record_id"), F.col("src").alias("owner"), F.col("dst").alias("ref_id"), "recorded_at")
+
+    # Both tables go through one fixpoint: even numbers are those of edges and memories, odd ones those of the log.
+    def told_apart(df: DataFrame, odd: int) -> DataFrame:
+        return df.select(*((F.col(c) * 2 + odd).alias(c) if c in ("record_id", "owner", "ref_id") else F.col(c) for c in df.columns))
+
+    refs = told_apart(of_edges, 0).unionByName(told_apart(of_log, 1))
+    columns = ["record_id", "owner"]
+    direct = materialize(told_apart(direct_edges.select(columns), 0).unionByName(told_apart(direct_log.select(columns), 1)), "direct")
+    times = refs.groupBy("record_id").agg(F.min("recorded_at").alias("recorded_at"))
+    kinds = direct.select("record_id").distinct().withColumn("kind", F.lit("direct")).unionByName(inherited(refs, direct).select("record_id", F.lit("inherited").alias("kind")))
+    table = F.when(F.col("record_id") % 2 == 0, "edges").otherwise("replay_log").alias("table_name")
+    return kinds.join(times, "record_id").groupBy(table, F.date_format("recorded_at", "yyyy-MM").alias("month")).agg(F.count_if(F.col("kind") == "direct").alias("direct"), F.count_if(F.col("kind") == "inherited").alias("inherited"))
 
 
 _DIRECT_SQL = rf"""

@@ -107,20 +107,22 @@ def broadcast_if_below(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
+def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None) -> list:
     """The values of ``key`` with more than ``hot_rows`` rows and more than 1/HOT_SHARE of all rows (so at most HOT_SHARE values)."""
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
     found = counts.where(F.col("count") > hot_rows).orderBy(F.desc("count")).limit(HOT_SHARE).collect()
     return [r[0] for r in found]
 
 
-def skew_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+def skew_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Equi-join with a ``right`` that is unique in ``key``, whose hot left keys never meet in one task.
 
     Rows of hot keys join a broadcast of the few (at most HOT_SHARE) right rows
-    they need, and stay where they are; all others are shuffled.
+    they need, and stay where they are; all others are shuffled. Keys are
+    numbers or strings; ``hot`` gives hot keys that are known already.
     """
-    hot = hot_keys(left, key, hot_rows)
+    hot = hot_keys(left, key, hot_rows) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
