@@ -9,7 +9,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError
@@ -79,6 +80,15 @@ def resolve(embedder: Embedder | None, text: str | None, vector: Sequence[float]
     return embedder.embed(text or "")
 
 
+def hash_embedding(text: Column, dimension: int = 64) -> Column:
+    """What HashEmbedder gives, as an expression in double precision: no text leaves the JVM."""
+    digests = [F.sha2(F.concat(F.coalesce(text, F.lit("")), F.lit(str(i))), 256) for i in range(-(-dimension // 8))]
+    words = F.array(*(F.conv(F.substring(digests[k // 8], k % 8 * 8 + 1, 8), 16, 10).cast("double") for k in range(dimension)))
+    # Words and norm are bound once, as arguments of lambdas, and not worked out again for each component.
+    bound = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, y: s + y * y)).alias("n")))
+    return F.get(F.transform(bound, lambda b: F.transform(b["w"], lambda x: x / b["n"])), F.lit(0))
+
+
 def embed_table(df: DataFrame, embedder: Embedder, text: str = "text", to: str = "embedding") -> DataFrame:
     """Add the vectors of a text column, batch by batch; a null text is embedded as an empty one."""
     if to in df.columns:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,9 @@ from ..plans.options import IntentPolicy, Options, Path, Plan, plan, with_intent
 from . import graph
 from .vector_search import top
 
+#: (memories, query, k) -> (id, score): a source of candidates.
+Provider = Callable[[DataFrame, Sequence[float], int], DataFrame]
+
 HALF_LIFE = 30 * 86_400
 BOOST = 0.2
 NEIGHBOUR_SHARE = 0.9
@@ -55,13 +58,14 @@ def _ranked(candidates: DataFrame, p: Plan) -> DataFrame:
     return df.orderBy(*order).limit(o.top_k)
 
 
-def search(memories: DataFrame, edges: DataFrame | None, q: Sequence[float], options: Options = Options(), indexed: int = 0, policy: IntentPolicy | None = None, embed=None) -> Search:
+def search(memories: DataFrame, edges: DataFrame | None, q: Sequence[float], options: Options = Options(), indexed: int = 0, policy: IntentPolicy | None = None, embed=None, provider: Provider | None = None) -> Search:
     """(id, final_score, similarity_score, importance_score, recency_score), the best ``top_k``.
 
     The filters on time and metadata come after the choice of candidates, so
     fewer hits may come out than rows match. Expansion replaces the candidates
     by what they reach (themselves included); the time range is not asked of
-    what was reached. Rows without embedding never come out.
+    what was reached. Rows without embedding never come out. A ``provider``
+    chooses the candidates in place of an exact scan.
     """
     q = check_query(q)
     p = plan(with_intent(options, q, policy, embed), indexed)
@@ -70,7 +74,10 @@ def search(memories: DataFrame, edges: DataFrame | None, q: Sequence[float], opt
     if o.collection is not None:
         base = base.where(F.col("collection") == o.collection)
     base = base.withColumn("cos", cosine(F.col("embedding"), q))
-    scored = base.orderBy(F.desc("cos"), "id").limit(p.candidates)
+    if provider is None:
+        scored = base.orderBy(F.desc("cos"), "id").limit(p.candidates)
+    else:
+        scored = base.join(provider(base, q, p.candidates).select("id"), "id", "left_semi")
     kept = scored.where(metadata_matches(o.metadata))
     if o.time_range:
         kept = kept.where(F.col("created_at").between(*o.time_range))
@@ -86,11 +93,11 @@ def search(memories: DataFrame, edges: DataFrame | None, q: Sequence[float], opt
     return Search(hits, p, stages)
 
 
-def facade_search(memories: DataFrame, edges: DataFrame, q: Sequence[float], k: int, collection: str | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
+def facade_search(memories: DataFrame, edges: DataFrame, q: Sequence[float], k: int, collection: str | None = None, metadata: dict[str, str] | None = None, provider: Provider | None = None) -> DataFrame:
     """(id, score) of the simple call: one hop, no time range. In a collection four times as many are fetched first."""
     if collection is None:
-        return search(memories, edges, q, Options(top_k=k, metadata=metadata)).hits.select("id", F.col("final_score").alias("score"))
-    found = search(memories, edges, q, Options(top_k=4 * k, collection=collection, metadata=metadata)).hits
+        return search(memories, edges, q, Options(top_k=k, metadata=metadata), provider=provider).hits.select("id", F.col("final_score").alias("score"))
+    found = search(memories, edges, q, Options(top_k=4 * k, collection=collection, metadata=metadata), provider=provider).hits
     inside = memories.where(F.col("collection") == collection).select("id")
     return top(found.select("id", F.col("final_score").alias("score")).join(inside, "id", "left_semi"), k)
 
@@ -110,12 +117,12 @@ def recency_boost(hits: DataFrame, memories: DataFrame, now: int) -> DataFrame:
     return hits.join(memories.select("id", "created_at"), "id", "left").select("id", F.coalesce(boosted, "score").alias("score"))
 
 
-def client_search(memories: DataFrame, edges: DataFrame, q: Sequence[float], limit: int = 5, collections: list[str] | None = None, metadata: dict[str, str] | None = None, use_graph: bool = False, recency_bias: bool = False, now: int = 0) -> DataFrame:
+def client_search(memories: DataFrame, edges: DataFrame, q: Sequence[float], limit: int = 5, collections: list[str] | None = None, metadata: dict[str, str] | None = None, use_graph: bool = False, recency_bias: bool = False, now: int = 0, provider: Provider | None = None) -> DataFrame:
     """(id, score): search each collection, merge, boost, sort, cut."""
     if collections is None:
-        hits = facade_search(memories, edges, q, limit, None, metadata)
+        hits = facade_search(memories, edges, q, limit, None, metadata, provider)
     else:
-        parts = [facade_search(memories, edges, q, limit, c, metadata) for c in dict.fromkeys(collections)]
+        parts = [facade_search(memories, edges, q, limit, c, metadata, provider) for c in dict.fromkeys(collections)]
         hits = parts[0]
         for part in parts[1:]:
             hits = hits.unionByName(part)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vector import check_query, magnitude
@@ -41,3 +41,31 @@ class InvertedFile:
     def search(self, q: Sequence[float], k: int, probes: int = 8) -> DataFrame:
         """(id, score): exact scores within the nearest cells."""
         return vector_search.knn(self.rows.where(F.col("cell").isin(self.probe(q, probes))), q, k)
+
+    def provider(self, probes: int = 8):
+        """This index as the source of candidates of a hybrid search."""
+        return lambda base, q, k: vector_search.knn(base.join(self.rows.where(F.col("cell").isin(self.probe(q, probes))).select("id"), "id", "left_semi"), q, k)
+
+    def stale(self, memories: DataFrame, limit: float = 0.2) -> bool:
+        """Whether more than ``limit`` of the index is gone from the table or missing here, so that it should be built anew."""
+        now = memories.where("embedding IS NOT NULL").select("id")
+        changed = vector_search.difference(now, self.rows, "new", "gone").count()
+        return changed > limit * max(1, self.rows.count())
+
+    def save(self, path: str) -> None:
+        """Centres and rows as Parquet, the rows by cell so that a search reads its cells only."""
+        spark = self.rows.sparkSession
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        self.rows.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> InvertedFile:
+        centres = [r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()]
+        return cls(np.array(centres), spark.read.parquet(f"{path}/rows"))
+
+
+def search_or_scan(index: InvertedFile | None, memories: DataFrame, q: Sequence[float], k: int, probes: int = 8) -> DataFrame:
+    """Search the index; without one, or if it is stale, scan the table."""
+    if index is None or index.stale(memories):
+        return vector_search.knn(memories, q, k)
+    return index.search(q, k, probes)

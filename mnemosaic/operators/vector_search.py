@@ -134,3 +134,17 @@ def recall(exact: DataFrame, approximate: DataFrame, k: int) -> DataFrame:
 def live(memories: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Memories whose id is not among the deleted ones."""
     return memories.join(tombstones.select("id").distinct(), "id", "left_anti")
+
+
+def stale_share(memories: DataFrame, tombstones: DataFrame, limit: float = 0.2) -> DataFrame:
+    """(collection, live, deleted, compactable): a collection is worth rewriting when more than ``limit`` of its rows are deleted."""
+    gone = tombstones.select("id").distinct().withColumn("gone", F.lit(1))
+    marked = memories.select("id", "collection").join(gone, "id", "left")
+    counted = marked.groupBy("collection").agg(F.count_if(F.col("gone").isNull()).alias("live"), F.count("gone").alias("deleted"))
+    return counted.withColumn("compactable", F.col("deleted") / (F.col("live") + F.col("deleted")) > limit)
+
+
+def difference(a: DataFrame, b: DataFrame, only_a: str, only_b: str) -> DataFrame:
+    """(id, side) of the ids that only one of two sets has; no rows if they are equal."""
+    a, b = a.select("id").distinct(), b.select("id").distinct()
+    return a.join(b, "id", "left_anti").withColumn("side", F.lit(only_a)).unionByName(b.join(a, "id", "left_anti").withColumn("side", F.lit(only_b)))

@@ -212,6 +212,20 @@ def vec_index_stats(spark, d):
     return memories(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("with_embedding"), F.round(F.sum(F.coalesce(magnitude(F.col("embedding")), F.lit(0.0))), 4).alias("magnitudes"))
 
 
+@query(_mem(", gone AS (SELECT DISTINCT memory_id FROM tombstones) SELECT collection, count(*) FILTER (memory_id IS NULL) AS live, count(memory_id) AS deleted, count(memory_id) / count(*)::DOUBLE > 0.2 AS compactable FROM mem LEFT JOIN gone ON memory_id = id GROUP BY collection"))
+def segment_live_ratio(spark, d):
+    """Live and deleted rows of each collection, and whether it is worth rewriting."""
+    return vector_search.stale_share(memories(spark, d), read_table(spark, d, "tombstones").select(F.col("memory_id").alias("id")))
+
+
+@query(_mem("SELECT id, 'not in hits' AS side FROM mem WHERE embedding IS NOT NULL AND id NOT IN (SELECT memory_id FROM hits WHERE memory_id IS NOT NULL) UNION ALL SELECT DISTINCT memory_id, 'not in index' FROM hits WHERE memory_id IS NOT NULL AND memory_id NOT IN (SELECT id FROM mem WHERE embedding IS NOT NULL)"))
+def index_difference(spark, d):
+    """Ids of the vector index that were never hit, and hits that the index does not hold."""
+    index = memories(spark, d).where("embedding IS NOT NULL").select("id")
+    hit = read_table(spark, d, "hits").where("memory_id IS NOT NULL").select(F.col("memory_id").alias("id"))
+    return vector_search.difference(index, hit, "not in hits", "not in index")
+
+
 # Graph ------------------------------------------------------------------------
 
 
@@ -599,10 +613,13 @@ def embed_hash_words(spark, d):
     return docs.select("doc_id", F.round(F.greatest(*words), 0).alias("largest"))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT doc_id, list_transform(range(64), lambda k: ('0x' || sha256(coalesce(text, '') || (k // 8))[k % 8 * 8 + 1:k % 8 * 8 + 8])::UBIGINT::DOUBLE) AS w FROM documents)
+SELECT doc_id, round(w[1] / sqrt(list_dot_product(w, w)), 6) AS first, round(w[64] / sqrt(list_dot_product(w, w)), 6) AS last, round(list_sum(w) / sqrt(list_dot_product(w, w)), 6) AS total FROM w"""
+)
 def embed_hash(spark, d):
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
-    return embedders.embed_table(docs, embedders.HashEmbedder(64), "text", "embedding")
+    e = read_table(spark, d, "documents").select("doc_id", embedders.hash_embedding(F.col("text"), 64).alias("e"))
+    return e.select("doc_id", F.round(F.get("e", F.lit(0)), 6).alias("first"), F.round(F.get("e", F.lit(63)), 6).alias("last"), F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 @query()

@@ -60,6 +60,13 @@ def read_operations(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", "block", "line", parsed.alias("o")).select("file", "block", "line", "o.*")
 
 
+def valid_prefix(ops: DataFrame) -> DataFrame:
+    """The operations before the first line that cannot be read: what a torn log still holds for sure."""
+    place = F.struct("file", "block", "line")
+    torn = ops.where("_corrupt IS NOT NULL OR op IS NULL").agg(F.min(place).alias("torn"))  # one row
+    return ops.crossJoin(F.broadcast(torn)).where(F.col("torn").isNull() | (place < F.col("torn"))).drop("torn")
+
+
 class ReplayWriter:
     """Appends operations to a log of the driver; the header is written only to a new file."""
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemosaic import errors
-from mnemosaic.functions.embedders import HashEmbedder, ServiceEmbedder, embed_table, resolve
+from mnemosaic.functions.embedders import HashEmbedder, ServiceEmbedder, embed_table, hash_embedding, resolve
 from mnemosaic.operators import capacity, combined, graph, hybrid, ivf, mutations, temporal, vector_search
 from mnemosaic.plans.options import Options, Path
 from mnemosaic.schema import MEMORY_SCHEMA
@@ -72,7 +72,7 @@ def test_wide_vectors_equal_numpy(spark):
     assert [r["id"] for r in got] == want.tolist()
 
 
-def test_inverted_file_recall(spark):
+def test_inverted_file_recall(spark, tmp_path):
     x = np.random.default_rng(1).normal(size=(600, 16))
     m = table(spark, [(i, "a", v.tolist(), 0, 0) for i, v in enumerate(x)]).cache()
     index = ivf.InvertedFile.build(m, cells=6)
@@ -81,6 +81,11 @@ def test_inverted_file_recall(spark):
         exact = set(ids(vector_search.knn(m, x[i].tolist(), 10)))
         hit += len(exact & set(ids(index.search(x[i].tolist(), 10, 5))))
     assert hit / 30 >= 0.9
+    index.save(f"{tmp_path}/index")
+    again = ivf.InvertedFile.load(spark, f"{tmp_path}/index")
+    q = x[5].tolist()
+    assert ids(again.search(q, 5, 6)) == ids(vector_search.knn(m, q, 5)) == ids(ivf.search_or_scan(None, m, q, 5))
+    assert not again.stale(m) and again.stale(m.where("id < 100"))
 
 
 def test_graph(spark, diamond):
@@ -207,3 +212,5 @@ def test_embedders(spark):
     df = spark.createDataFrame([(1, "hello"), (2, None)], "id long, text string")
     got = {r["id"]: r["embedding"] for r in embed_table(df, h).collect()}
     assert got[1] == pytest.approx(v, rel=1e-6) and len(got[2]) == 20
+    made = {r["id"]: r["e"] for r in df.select("id", hash_embedding(F.col("text"), 20).alias("e")).collect()}
+    assert made[1] == pytest.approx(v) and made[2] == pytest.approx(h.embed(""))

@@ -137,3 +137,20 @@ def test_stream_of_commands(spark, tmp_path):
         q = command_stream.into_store(command_stream.read_commands(spark, f"{tmp_path}/in"), s, f"{tmp_path}/check")
         q.awaitTermination(120)
         assert sorted(ids(s.memories())) == [1, 2] and s.edges().count() == 1
+
+
+def test_index_modes(spark, tmp_path):
+    with Client.open(spark, f"file://{tmp_path}/db", dimension=2) as c:
+        first = c.add_batch([{"text": str(k), "vector": [1.0, k / 10]} for k in range(12)])[0]
+        exact = ids(c.search(vector=[1.0, 0.0], limit=3))
+        assert exact[0] == first
+        for mode in ("prefix", {"type": "hnsw", "probes": 99}):
+            c.set_index_mode(mode)
+            assert ids(c.search(vector=[1.0, 0.0], limit=3)) == exact
+
+
+def test_valid_prefix_of_a_torn_log(spark, tmp_path):
+    lines = ['{"x_replay":"1.0","dimension":1}', '{"op":"add","id":1}', '{"op":"add","id":2}', '{"op":"ad', '{"op":"add","id":3}']
+    (tmp_path / "log").write_text("\n".join(lines))
+    ops = replay.read_operations(spark, f"file://{tmp_path}/log")
+    assert ops.count() == 4 and ids(replay.valid_prefix(ops)) == [1, 2]
