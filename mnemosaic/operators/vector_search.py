@@ -66,6 +66,16 @@ def prefix_knn(memories: DataFrame, q: Sequence[float], k: int, multiplier: int
     return top(scored(candidates, q).select("id", "score"), k)
 
 
+def _best(s: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k highest scores of each row; where equal scores cross the edge, those with the smallest ids."""
+    keep = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(s, keep, 1).min(1, keepdims=True)
+    tied = np.flatnonzero((s >= edge).sum(1) > k)
+    if len(tied):
+        keep[tied] = np.lexsort((i[tied], -s[tied]), axis=1)[:, :k]
+    return keep
+
+
 def knn_batch(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) of the k most similar memories of each query (query_id, embedding).
 
@@ -102,8 +112,7 @@ def knn_batch(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     if best is not None:
                         s, i = np.hstack([best[0], s]), np.hstack([best[1], i])
                     if s.shape[1] > k:
-                        # ties at the edge go by id, so the cut is by (score, id)
-                        keep = np.lexsort((i, -s), axis=1)[:, :k]
+                        keep = _best(s, i, k)
                         s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
                     best = s, i
             if best is not None:
