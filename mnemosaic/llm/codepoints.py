@@ -65,3 +65,35 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+#: Codepoints of one text that are worked on at once; longer texts are taken in parts.
+PART = 1 << 20
+
+
+def parts_of(text: str, part: int | None = None) -> list[str]:
+    """A text in parts that begin with white space, so that no word or piece spans two of them; what has no white space stays whole."""
+    part = part or PART
+    if len(text) <= part:
+        return [text]
+    out, begin = [], 0
+    while len(text) - begin > part:
+        end = _break(text, begin, part)
+        if end == begin:
+            break
+        out.append(text[begin:end])
+        begin = end
+    return [*out, text[begin:]]
+
+
+def _break(text: str, begin: int, part: int) -> int:
+    """The first place, about ``part`` codepoints on, at which white space follows something else; ``begin`` if there is none."""
+    at = begin + part
+    while at < len(text):
+        if text[at] in " \n\t\r" and text[at - 1] not in _ANY_SPACE:
+            return at
+        at += 1
+    return begin
+
+
+_ANY_SPACE = frozenset(map(chr, WHITE_SPACE))

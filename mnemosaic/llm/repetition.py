@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import materialize, read_table, skew_safe_join
+from . import codepoints as codepoints_module
 from .codepoints import LETTER, NUMBER, class_table, codepoints, slices
 
 _BASE, _GRAM = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -57,6 +58,13 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codepoints times powers of an odd number, so no slice is looked at alone.
     """
     texts = [t.lower() for t in texts]
+    if any(len(t) > codepoints_module.PART for t in texts):  # very long texts: in parts that cut no word
+        done = [(k, _words_of([p])) for k, t in enumerate(texts) for p in codepoints_module.parts_of(t)]
+        return np.concatenate([h for _, (h, _) in done]), np.concatenate([np.full(len(h), k) for k, (h, _) in done])
+    return _words_of(texts)
+
+
+def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     cps = codepoints("\0".join(texts) + "\0")
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lengths + 1) - 1

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import read_table
-from .codepoints import LETTER, NUMBER, SPACE, class_table, codepoints, list_array, slices, utf8_widths
+from . import codepoints as codepoints_module
+from .codepoints import LETTER, NUMBER, SPACE, class_table, codepoints, list_array, parts_of, slices, utf8_widths
 
 DEFAULT = "byte_bpe_50k"
 
@@ -367,7 +368,17 @@ class BytePairs:
         self.begin, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each text has."""
+        """All ids in order, and how many each text has. Very long texts are taken in parts, cut where a piece begins in any case."""
+        if all(len(t) <= codepoints_module.PART for t in texts):
+            return self._encode(texts)
+        ids, counts = [], []
+        for t in texts:
+            done = [self._encode([p])[0] for p in parts_of(t)]
+            ids += done
+            counts.append(sum(map(len, done)))
+        return np.concatenate(ids), np.array(counts, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not texts:
             return np.empty(0, np.int32), np.empty(0, np.int64)
         pieces, counts = split_texts(texts)

@@ -38,6 +38,13 @@ def test_longer_texts():
     assert measured(texts, 8) == [plainly(t, 8) for t in texts]
 
 
+def test_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(r.codepoints_module, "PART", 7)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab1 \n.-İΣ") for _ in range(rng.randint(0, 90))) for _ in range(300)]
+    assert measured(texts, 3) == [plainly(t, 3) for t in texts]
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h " * 4, 0), (2, None, 0), (3, "", 0), (1, "a b c d e f g h " * 4, 0)], "doc_id long, text string, n_words long")
     got = [(x["doc_id"], x["w"], x["n_repeated"], x["repeated_share"]) for x in r.repeated_words(df, keep=["doc_id"]).withColumnRenamed("n_words", "w").collect()]

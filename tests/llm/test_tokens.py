@@ -55,6 +55,13 @@ def test_pretokens_by_definition():
     assert pieces == want and counts.sum() == len(want)
 
 
+def test_texts_in_parts(reference, monkeypatch):
+    monkeypatch.setattr(tokens.codepoints_module, "PART", 5)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("a'sl1 \n!\u3000é") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    assert ours(texts) == reference(texts)
+
+
 def test_cache_may_be_dropped_at_any_time(reference, monkeypatch):
     monkeypatch.setattr(tokens.BytePairs, "CACHE", 3)
     texts = ["some words", "other words here", "some words"]
