@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import check_query, magnitude
@@ -42,6 +43,54 @@ class InvertedFile:
         """(id, score): exact scores within the nearest cells."""
         return vector_search.knn(self.rows.where(F.col("cell").isin(self.probe(q, probes))), q, k)
 
+    def search_batch(self, queries: DataFrame, k: int, probes: int = 8, block_rows: int = 50_000) -> DataFrame:
+        """(query_id, id, score, rank) for each query (query_id, embedding): every query goes to its nearest cells, each cell is one matrix product.
+
+        A cell with more than ``block_rows`` rows is searched in blocks by
+        separate tasks.
+        """
+        centres, spark = self.centres, queries.sparkSession
+        probes = min(probes, len(centres))
+        counts = {r["cell"]: r["count"] for r in self.rows.groupBy("cell").count().collect()}  # a row for each cell
+        blocks = spark.createDataFrame([(c, -(-n // block_rows)) for c, n in counts.items()], "cell int, blocks int")
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                q = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+                if not b.num_rows:
+                    continue
+                norms = np.linalg.norm(q, axis=1, keepdims=True)
+                u = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
+                near = ((u[:, None, :] - centres[None, :, :]) ** 2).sum(2) if b.num_rows * centres.size < 1 << 24 else (centres**2).sum(1)[None, :] - 2 * u @ centres.T
+                cells = np.argsort(near, axis=1, kind="stable")[:, :probes]
+                take = pa.array(np.repeat(np.arange(b.num_rows), probes))
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), b.column(0).take(take), b.column(1).take(take)], names=["cell", "query_id", "embedding"])
+
+        def rank(asked: pa.Table, rows: pa.Table) -> pa.Table:
+            none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            if not asked.num_rows or not rows.num_rows:
+                return none
+            unit = []
+            for t in (asked, rows):
+                x = np.array(t["embedding"].to_pylist(), np.float64)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                unit.append(np.divide(x, n, out=np.zeros_like(x), where=n > 0))
+            ids, qids = rows["id"].to_numpy(), asked["query_id"].to_numpy()
+            s = unit[0] @ unit[1].T
+            i = np.broadcast_to(ids, s.shape)
+            if s.shape[1] > k:
+                keep = vector_search._best(s, i, k)
+                s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
+            return pa.table({"query_id": np.repeat(qids, s.shape[1]), "id": np.ascontiguousarray(i).ravel(), "score": s.ravel()})
+
+        routed = queries.where("embedding IS NOT NULL").select("query_id", "embedding").mapInArrow(route, "cell int, query_id long, embedding array<float>")
+        sized = F.broadcast(blocks)  # a row for each cell
+        left = routed.join(sized, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "embedding")
+        right = self.rows.join(sized, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "embedding")
+        found = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(rank, "query_id long, id long, score double")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
     def provider(self, probes: int = 8):
         """This index as the source of candidates of a hybrid search."""
         return lambda base, q, k: vector_search.knn(base.join(self.rows.where(F.col("cell").isin(self.probe(q, probes))).select("id"), "id", "left_semi"), q, k)

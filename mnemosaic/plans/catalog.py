@@ -196,13 +196,7 @@ def vec_ann_recall(spark, d):
     m = memories(spark, d)
     index = ivf.InvertedFile.build(m, cells=16)
     queries = _batch_queries(m)
-    exact = vector_search.knn_batch(m, queries, 10)
-    found = None
-    for r in queries.orderBy("query_id").limit(8).collect():
-        one = index.search(r["embedding"], 10, 8).withColumn("query_id", F.lit(r["query_id"]))
-        found = one if found is None else found.unionByName(one)
-    some = exact.join(found.select("query_id").distinct(), "query_id", "left_semi")
-    return vector_search.recall(some, found, 10)
+    return vector_search.recall(vector_search.knn_batch(m, queries, 10), index.search_batch(queries, 10, 12), 10)
 
 
 @query(_mem("SELECT count(*) AS n, count(embedding) AS with_embedding, (SELECT round(sum(sqrt(list_dot_product(embedding, embedding))), 4) FROM mem WHERE embedding IS NOT NULL) AS magnitudes FROM mem"))

@@ -8,16 +8,18 @@ never loses an intermediate result.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 import weakref
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more rows than this and more than 1/HOT_SHARE of the table; so there are at most HOT_SHARE hot keys.
+#: A key is hot when it holds more rows than this; of these the MOST_HOT most frequent are treated as hot, the others can't be a large part.
 HOT_ROWS = 50_000
-HOT_SHARE = 1000
+MOST_HOT = 1000
 
 _runs: dict[str, str] = {}
 
@@ -37,9 +39,30 @@ def session(app: str = "mnemosaic", cores: int = 8, **conf: str) -> SparkSession
         builder = builder.config(key.replace("_", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package: where PYTHONPATH does not have it, Spark sends it to each executor, once for an application."""
+    app, root = spark.sparkContext.applicationId, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(app)
+    package = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{package}-"), f"{package}.zip")  # the driver serves it from here
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(os.path.join(root, package)):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's own folder below ``spark.checkpoint.dir``.
 
@@ -108,17 +131,17 @@ def broadcast_if_below(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None) -> list:
-    """The values of ``key`` with more than ``hot_rows`` rows and more than 1/HOT_SHARE of all rows (so at most HOT_SHARE values)."""
+    """The values of ``key`` with more than ``hot_rows`` rows, the MOST_HOT most frequent at most."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    found = counts.where(F.col("count") > hot_rows).orderBy(F.desc("count")).limit(HOT_SHARE).collect()
+    found = counts.where(F.col("count") > hot_rows).orderBy(F.desc("count")).limit(MOST_HOT).collect()
     return [r[0] for r in found]
 
 
 def skew_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Equi-join with a ``right`` that is unique in ``key``, whose hot left keys never meet in one task.
 
-    Rows of hot keys join a broadcast of the few (at most HOT_SHARE) right rows
+    Rows of hot keys join a broadcast of the few (at most MOST_HOT) right rows
     they need, and stay where they are; all others are shuffled. Keys are
     numbers or strings; ``hot`` gives hot keys that are known already.
     """

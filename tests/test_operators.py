@@ -81,6 +81,11 @@ def test_inverted_file_recall(spark, tmp_path):
         exact = set(ids(vector_search.knn(m, x[i].tolist(), 10)))
         hit += len(exact & set(ids(index.search(x[i].tolist(), 10, 5))))
     assert hit / 30 >= 0.9
+    asked = m.where("id % 60 = 0").withColumnRenamed("id", "query_id")
+    exact = vector_search.knn_batch(m, asked, 10)
+    every = sorted(map(tuple, index.search_batch(asked, 10, 6, block_rows=40).select("query_id", "id", "rank").collect()))
+    assert every == sorted(map(tuple, exact.select("query_id", "id", "rank").collect()))
+    assert vector_search.recall(exact, index.search_batch(asked, 10, 5), 10).collect()[0]["recall"] >= 0.9
     index.save(f"{tmp_path}/index")
     again = ivf.InvertedFile.load(spark, f"{tmp_path}/index")
     q = x[5].tolist()
