@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidWeightsError
 from ..functions.vector import check_query, cosine, similarity_score, unit_interval
+from ..runtime import materialize
 from . import graph, temporal
 from .vector_search import knn, knn_in_ids, top
 
@@ -46,6 +47,7 @@ def weighted_in_range_connected(memories: DataFrame, edges: DataFrame, q: Sequen
     near = graph.bfs(edges, memories, origin, hops)
     inside = temporal.in_range(memories, start, end).where("embedding IS NOT NULL").join(near, "id")
     scored = inside.select("id", "created_at", similarity_score(cosine(F.col("embedding"), q)).alias("s"), unit_interval(1.0 - F.col("hops") / F.lit(float(max(hops, 1)))).alias("p"))
+    scored = materialize(scored, "candidates")  # read twice below
     limits = scored.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
     scored = scored.crossJoin(F.broadcast(limits))
     recency = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("created_at") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double"))

@@ -1,4 +1,4 @@
-"""Hybrid search: similarity, filters, graph expansion and weighted ranking in one lazy plan."""
+"""Hybrid search: similarity, filters, graph expansion and weighted ranking in one plan, of which only the candidates are written out."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import check_query, cosine, similarity_score, unit_interval
 from ..plans.options import IntentPolicy, Options, Path, Plan, plan, with_intent
+from ..runtime import materialize
 from . import graph
 from .vector_search import top
 
@@ -46,7 +47,8 @@ def _ranked(candidates: DataFrame, p: Plan) -> DataFrame:
     o = p.options
     df = candidates.select("id", similarity_score(F.col("cos")).alias("similarity_score"), unit_interval(F.col("importance").cast("double")).alias("importance_score"), "created_at")
     weighted = o.always_weighted or p.path is Path.WEIGHTED_HYBRID
-    # Recency is relative to the candidates: one row of bounds, not a window over all rows in one task.
+    # Recency is relative to the candidates: one row of bounds, not a window over all rows in one task. Both uses read what is written once.
+    df = materialize(df, "candidates")
     limits = df.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
     df = df.crossJoin(F.broadcast(limits))
     age = (F.col("created_at") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double")
@@ -73,11 +75,11 @@ def search(memories: DataFrame, edges: DataFrame | None, q: Sequence[float], opt
     base = memories.where("embedding IS NOT NULL")
     if o.collection is not None:
         base = base.where(F.col("collection") == o.collection)
-    base = base.withColumn("cos", cosine(F.col("embedding"), q))
+    similar = lambda df: df.withColumn("cos", cosine(F.col("embedding"), q))
     if provider is None:
-        scored = base.orderBy(F.desc("cos"), "id").limit(p.candidates)
+        scored = similar(base).orderBy(F.desc("cos"), "id").limit(p.candidates)
     else:
-        scored = base.join(provider(base, q, p.candidates).select("id"), "id", "left_semi")
+        scored = similar(base.join(provider(base, q, p.candidates).select("id"), "id", "left_semi"))
     kept = scored.where(metadata_matches(o.metadata))
     if o.time_range:
         kept = kept.where(F.col("created_at").between(*o.time_range))
@@ -86,7 +88,7 @@ def search(memories: DataFrame, edges: DataFrame | None, q: Sequence[float], opt
     if o.hops and edges is not None:
         inside = edges if o.collection is None else graph.within(edges, memories.where(F.col("collection") == o.collection))
         reached = graph.reach(inside, kept, o.hops)
-        candidates = base.where(metadata_matches(o.metadata)).join(reached.select("id"), "id", "left_semi")
+        candidates = similar(base.where(metadata_matches(o.metadata)).join(reached.select("id"), "id", "left_semi"))
         stages["expanded"] = candidates
     hits = _ranked(candidates, p)
     stages["ranked"] = hits
@@ -128,7 +130,7 @@ def client_search(memories: DataFrame, edges: DataFrame, q: Sequence[float], lim
             hits = hits.unionByName(part)
         hits = top(hits.groupBy("id").agg(F.max("score").alias("score")), limit) if len(parts) > 1 else hits
     if use_graph:
-        hits = graph_boost(hits, edges, memories, collections)
+        hits = graph_boost(materialize(hits, "hits"), edges, memories, collections)
     if recency_bias:
         hits = recency_boost(hits, memories, now)
     return top(hits, limit)
