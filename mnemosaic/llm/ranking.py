@@ -27,7 +27,7 @@ LOCAL_ITEMS = 200_000
 BLOCK_ITEMS = 20_000
 DAMPING = 0.85
 STEPS = 40
-DIGITS = 9  # visits are compared rounded, as sums depend on their order
+DIGITS = 9  # visits are compared rounded, as sums depend on their order; as multiples of the query's mean 1 / n, so that a large query keeps its order
 
 
 def _orders(query: np.ndarray, scores: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -47,6 +47,26 @@ def _orders(query: np.ndarray, scores: list[np.ndarray]) -> list[tuple[np.ndarra
     return out
 
 
+def _suffix_sums(share: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    """Sums from each place to the end of its query, each query on its own: a difference of sums over all queries would lose the digits that the order of a large query needs."""
+    share, out = np.append(share, 0.0), np.empty(len(share) + 1)
+    for places in groups:
+        out[places] = np.cumsum(share[places], axis=1)
+    return out[:-1]
+
+
+def _groups(heads: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The places of queries of about one size, from their ends; shorter ones begin with the place behind the last, which holds 0."""
+    out, n = [], int(size.sum())
+    width = np.ceil(np.log2(size)).astype(int)
+    for w in np.unique(width):
+        some = np.flatnonzero(width == w)
+        widest = size[some].max()
+        left = np.arange(widest)[::-1][None, :]
+        out.append(np.where(left < size[some, None], heads[some, None] + left, n))
+    return out
+
+
 def visits(query: np.ndarray, scores: list[np.ndarray], damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
     """How often the walker visits each item of each query; ``query`` is sorted, NaN ranks last."""
     n = len(query)
@@ -55,17 +75,15 @@ def visits(query: np.ndarray, scores: list[np.ndarray], damping: float = DAMPING
     heads = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
     size = np.diff(np.append(heads, n))
     count = np.repeat(size, size).astype(float)
-    stop = np.repeat(np.append(heads[1:], n), size)
+    groups = _groups(heads, size)
     orders = _orders(query, scores)
     mass = 1 / count
     for _ in range(steps):
         new = (1 - damping) / count
         for order, tie_begin, reach in orders:
-            share = mass[order] / reach
-            suffix = np.append(np.cumsum(share[::-1])[::-1], 0.0)
             # Items from the beginning of this one's tie to the end of the query can jump here.
             gain = np.empty(n)
-            gain[order] = suffix[tie_begin] - suffix[stop]
+            gain[order] = _suffix_sums(mass[order] / reach, groups)[tie_begin]
             new += damping / len(orders) * gain
         mass = new
     return mass
@@ -78,9 +96,11 @@ def _local(items: DataFrame, names: list[str], damping: float, steps: int) -> Da
         table = table.drop_columns(["pack"]).sort_by([("query_id", "ascending"), ("memory_id", "ascending")])
         query = table["query_id"].to_numpy()
         mass = visits(query, [table[c].to_numpy() for c in names], damping, steps)
-        order = np.lexsort((table["memory_id"].to_numpy(), -np.round(mass, DIGITS), query))
+        begin = np.searchsorted(query, query)
+        size = np.searchsorted(query, query, "right") - begin
+        order = np.lexsort((table["memory_id"].to_numpy(), -np.round(mass * size, DIGITS), query))
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.searchsorted(query, query) + 1
+        rank[order] = np.arange(len(order)) - begin + 1
         return table.select(["query_id", "memory_id"]).append_column("rank", pa.array(rank)).append_column("visits", pa.array(mass))
 
     packs = max(64, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
@@ -117,14 +137,15 @@ def _distributed(items: DataFrame, names: list[str], damping: float, steps: int,
         gain = share.withColumn("gain", F.sum("share").over(w)).join(carry, ["query_id", "s", "block"]).select("query_id", "s", "reach", (F.col("gain") + F.col("carry")).alias("gain"))
         new = places.join(gain, ["query_id", "s", "reach"]).groupBy("query_id", "memory_id").agg(F.sum("gain").alias("gain"))
         mass = new.join(sizes, "query_id").select("query_id", "memory_id", ((1 - damping) / F.col("size") + damping / len(names) * F.col("gain")).alias("mass"))
-    final = mass.select("query_id", "memory_id", F.col("mass").alias("visits"), F.round("mass", DIGITS).alias("r"), F.lit(1).alias("one"))
+    final = mass.join(sizes, "query_id").select("query_id", "memory_id", F.col("mass").alias("visits"), F.round(F.col("mass") * F.col("size"), DIGITS).alias("r"), F.lit(1).alias("one"))
     return _places(final, ["query_id"], [F.desc("r"), F.col("memory_id")], "one", "rank").select("query_id", "memory_id", "rank", "visits")
 
 
 def fuse(items: DataFrame, scores: list[str], damping: float = DAMPING, steps: int = STEPS, local_items: int = LOCAL_ITEMS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(query_id, memory_id, rank, visits) from (query_id, memory_id, scores...), a row for each item of a query.
 
-    Equal visits (rounded to DIGITS digits) are ordered by memory_id.
+    Equal visits (as multiples of the query's mean, rounded to DIGITS digits)
+    are ordered by memory_id.
 
     In each score the highest value is best; null and NaN count as worst, tied
     with each other. Rows with a null query or memory are left out; repeated

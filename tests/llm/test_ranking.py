@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mnemosaic.llm import ranking as k
@@ -66,6 +67,28 @@ def test_tables_of_both_kinds_agree(spark):
     assert k.fuse(df.limit(0), ["a", "b"]).count() == 0
 
 
+def test_large_queries_keep_their_order(spark):
+    rng = np.random.default_rng(3)
+    n = 100_000
+    a, b = rng.random(n), rng.random(n)
+    df = spark.range(n).join(spark.createDataFrame(pa.table({"id": np.arange(n), "a": a, "b": b})), "id").selectExpr("1L AS query_id", "id AS memory_id", "a", "b")
+    for steps, options in ((k.STEPS, {}), (2, {"local_items": 1000})):
+        want = np.argsort(-k.visits(np.zeros(n, int), [a, b], steps=steps), kind="stable")
+        rank = k.fuse(df, ["a", "b"], steps=steps, **options).select("memory_id", "rank").toArrow().sort_by("rank")
+        assert rank["rank"].to_pylist() == list(range(1, n + 1))
+        assert (rank["memory_id"].to_numpy() == want).mean() > 0.999
+
+
+def test_queries_do_not_depend_on_others_of_their_group():
+    rng = np.random.default_rng(4)
+    n = 20_000
+    large = [rng.random(n), rng.random(n)]
+    many = np.repeat(np.arange(1, 10_001), rng.integers(1, 9, 10_000))
+    query = np.append(np.zeros(n, int), many)
+    both = k.visits(query, [np.append(s, rng.random(len(many))) for s in large])
+    assert np.array_equal(both[:n], k.visits(np.zeros(n, int), large))
+
+
 def test_hits(spark):
     hits = spark.createDataFrame([(1, 10, 5.0), (1, 11, float("nan")), (1, 12, None), (1, 13, 9.0), (1, 13, 9.0)], "query_id long, memory_id long, score double")
     memories = spark.createDataFrame([(10, 0.5, 1_700_000_000), (10, 0.5, 1_700_000_000), (11, float("nan"), 0), (12, 0.1, 1_700_000_000_000), (None, 1.0, 1)], "id long, importance float, created_at long")
