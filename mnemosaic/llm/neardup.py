@@ -141,10 +141,12 @@ def partition_keys(tokens: np.ndarray, counts: np.ndarray, plan: list[Partition]
 
 
 def class_table(contents: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): id and hash of each content; a row for each distinct eligible content, with its tokens."""
+    """(members, classes): id and hash of each content, once; a row for each distinct eligible content, with its tokens and the number of ids that have it."""
     text = contents.select("id", "content").where(F.col("id").isNotNull() & F.is_valid_utf8(F.col("content").cast("string")))
-    members = text.select("id", F.md5("content").alias("hash"))
-    whole = text.groupBy(F.md5("content").alias("hash")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("content").alias("content"))
+    members = text.select("id", F.md5("content").alias("hash")).dropDuplicates(["id", "hash"])
+    # Counted without the contents, which so are shuffled once only.
+    copies = members.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"))
+    whole = text.groupBy(F.md5("content").alias("hash")).agg(F.min("id").alias("rep"), F.first("content").alias("content")).join(copies, "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +227,7 @@ def near_duplicates(contents: DataFrame, least: float = 0.7, min_words: int = 20
     """
     members, classes = class_table(contents, min_words)
     known = classes.select("hash", "rep", "copies")
-    members = skew_safe_join(members.dropDuplicates(["id", "hash"]), known, "hash", "inner").select("id", "rep", "copies")
+    members = skew_safe_join(members, known, "hash", "inner").select("id", "rep", "copies")
     return members, classes, materialize(similar_classes(classes, least, miss), "links")
 
 

@@ -102,6 +102,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_groups_count_redelivered_rows_once(spark, tmp_path):
+    rng = random.Random(7)
+    texts = corpus(rng, 60)
+    texts += texts[:4] + [texts[0]] * 2
+    rows = [(k, t.encode()) for k, t in enumerate(texts)]
+    rows += [r for r in rows if r[0] % 3 == 0] + [rows[0]] * 3
+    near = {k: {j for j, b in enumerate(texts) if j != k and similarity(a, b) >= 0.7} for k, a in enumerate(texts)}
+    group = {k: k for k in near}
+    for _ in texts:
+        group = {k: min([group[k], *(group[j] for j in near[k])]) for k in near}
+    assert any(not near[k] for k in range(0, len(texts), 3)) and any(near[k] for k in range(0, len(texts), 3))
+    spark.createDataFrame([(i, bytearray(c)) for i, c in rows], "id long, content binary").write.parquet(f"{tmp_path}/memories.parquet")
+    got = sorted(tuple(r) for r in n.p3_groups(spark, str(tmp_path)).select("id", "group_id", "n_links").collect())
+    assert got == [(k, group[k], len(near[k])) for k in sorted(near) if near[k]]
+
+
 def test_hot_classes(spark, monkeypatch):
     from mnemosaic import runtime
 
