@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,11 +17,18 @@ from ..functions.vector import check_query, magnitude
 from . import vector_search
 
 FIT_ROWS = 50_000  # rows the centres are fitted on; every row is indexed
+LEAST_PROBES = 8
+PROBED_SHARE = 1 / 12  # of the cells; a fixed number of probes loses recall as the cells grow with the table
+
+
+def default_probes(cells: int) -> int:
+    """How many of ``cells`` are searched for a query that asks for no number."""
+    return min(cells, max(LEAST_PROBES, math.ceil(cells * PROBED_SHARE)))
 
 
 @dataclass
 class InvertedFile:
-    """Cells of unit vectors. ``rows`` is the base table with its ``cell``."""
+    """Cells of unit vectors. ``rows`` is the base table with its ``cell``. Searches probe ``default_probes`` cells unless told otherwise."""
 
     centres: np.ndarray
     rows: DataFrame
@@ -35,22 +43,23 @@ class InvertedFile:
         model = KMeans(k=cells, seed=seed, featuresCol="__v", predictionCol="cell", maxIter=15).fit(fit)
         return cls(np.array(model.clusterCenters()), model.transform(unit).drop("__v", "__n"))
 
-    def probe(self, q: Sequence[float], probes: int) -> list[int]:
+    def probe(self, q: Sequence[float], probes: int | None = None) -> list[int]:
+        probes = default_probes(len(self.centres)) if probes is None else probes
         q = np.array(check_query(q))
         return np.argsort(((self.centres - q / np.linalg.norm(q)) ** 2).sum(1), kind="stable")[:probes].tolist()
 
-    def search(self, q: Sequence[float], k: int, probes: int = 8) -> DataFrame:
+    def search(self, q: Sequence[float], k: int, probes: int | None = None) -> DataFrame:
         """(id, score): exact scores within the nearest cells."""
         return vector_search.knn(self.rows.where(F.col("cell").isin(self.probe(q, probes))), q, k)
 
-    def search_batch(self, queries: DataFrame, k: int, probes: int = 8, block_rows: int = 50_000) -> DataFrame:
+    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None, block_rows: int = 50_000) -> DataFrame:
         """(query_id, id, score, rank) for each query (query_id, embedding): every query goes to its nearest cells, each cell is one matrix product.
 
         A cell with more than ``block_rows`` rows is searched in blocks by
         separate tasks.
         """
         centres, spark = self.centres, queries.sparkSession
-        probes = min(probes, len(centres))
+        probes = min(default_probes(len(centres)) if probes is None else probes, len(centres))
         counts = {r["cell"]: r["count"] for r in self.rows.groupBy("cell").count().collect()}  # a row for each cell
         blocks = spark.createDataFrame([(c, -(-n // block_rows)) for c, n in counts.items()], "cell int, blocks int")
 
@@ -91,7 +100,7 @@ class InvertedFile:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    def provider(self, probes: int = 8):
+    def provider(self, probes: int | None = None):
         """This index as the source of candidates of a hybrid search."""
         return lambda base, q, k: vector_search.knn(base.join(self.rows.where(F.col("cell").isin(self.probe(q, probes))).select("id"), "id", "left_semi"), q, k)
 
@@ -113,7 +122,7 @@ class InvertedFile:
         return cls(np.array(centres), spark.read.parquet(f"{path}/rows"))
 
 
-def search_or_scan(index: InvertedFile | None, memories: DataFrame, q: Sequence[float], k: int, probes: int = 8) -> DataFrame:
+def search_or_scan(index: InvertedFile | None, memories: DataFrame, q: Sequence[float], k: int, probes: int | None = None) -> DataFrame:
     """Search the index; without one, or if it is stale, scan the table."""
     if index is None or index.stale(memories):
         return vector_search.knn(memories, q, k)

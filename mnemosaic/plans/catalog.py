@@ -192,11 +192,11 @@ def vec_knn_batch(spark, d):
 
 @query()
 def vec_ann_recall(spark, d):
-    """Recall of the inverted file against exact search, over the stated queries."""
+    """Recall of the inverted file, with the cells and probes that the client takes, against exact search, over the stated queries."""
     m = memories(spark, d)
-    index = ivf.InvertedFile.build(m, cells=16)
+    index = ivf.InvertedFile.build(m)
     queries = _batch_queries(m)
-    return vector_search.recall(vector_search.knn_batch(m, queries, 10), index.search_batch(queries, 10, 12), 10)
+    return vector_search.recall(vector_search.knn_batch(m, queries, 10), index.search_batch(queries, 10), 10)
 
 
 @query(_mem("SELECT count(*) AS n, count(embedding) AS with_embedding, (SELECT round(sum(sqrt(list_dot_product(embedding, embedding))), 4) FROM mem WHERE embedding IS NOT NULL) AS magnitudes FROM mem"))

@@ -1,6 +1,7 @@
 """Micro-fixtures of the operators."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,15 @@ def test_inverted_file_recall(spark, tmp_path):
     assert not again.stale(m) and again.stale(m.where("id < 100"))
 
 
+def test_default_probes_follow_the_cells(spark):
+    x = np.random.default_rng(2).normal(size=(40_000, 12)).astype(np.float32)
+    m = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "embedding": list(x)})).cache()
+    index = ivf.InvertedFile.build(m)
+    asked = m.where("id % 200 = 0").withColumnRenamed("id", "query_id")
+    assert vector_search.recall(vector_search.knn_batch(m, asked, 10), index.search_batch(asked, 10), 10).collect()[0]["recall"] >= 0.9
+    assert len(index.centres) == 200 and len(index.probe(x[0].tolist())) > 8
+
+
 def test_graph(spark, diamond):
     nodes, e = diamond
     hops = lambda h: {r["id"]: r["hops"] for r in graph.bfs(e, nodes, 0, h).collect()}
