@@ -1,10 +1,15 @@
 """Problem 4: apply a feed of inserts, updates and deletes, repeated and out of order.
 
 A table is split into buckets by a hash of its key. A batch of changes is
-reduced to the last one of each key, routed to the buckets, and merged (sorted
-by key) with those buckets only; they are written anew, and a new manifest
-names the files of every bucket. Readers see one manifest, so a batch is there
-wholly or not at all.
+reduced to the last one of each key, routed to the buckets, and sort-merged
+with those buckets only; they are written anew, and a new manifest names the
+files of every bucket. Readers see one manifest, so a batch is there wholly or
+not at all.
+
+The hash is Spark's own bucketing, so the base is read as it lies: each task
+scans one bucket, and only the changes are shuffled. The number of buckets is
+doubled when their mean size outgrows ``ROWS_PER_BUCKET``; each old bucket is
+then written as several new ones where it was read, still without a shuffle.
 
 Deleted keys stay as tombstones with the number of their deletion, so a change
 that arrives late cannot bring back what a later one removed.
@@ -13,25 +18,31 @@ that arrives late cannot bring back what a later one removed.
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import fs_delete, fs_of, fs_text, materialize, scratch_path
+from ..runtime import bucketed_files, fs_create_once, fs_delete, fs_list, fs_text, materialize, scratch_path
 from ..sources.commands import log_commands, wal_commands
 
 ROWS_PER_BUCKET = 250_000
-MOST_BUCKETS = 4_096
+LEAST_BUCKETS = 16
+_BUCKET_OF = re.compile(r"_(\d+)(?:\..*)?$")  # how Spark names the files of a bucket
 
 
 @dataclass(frozen=True)
 class Manifest:
+    """Files of each bucket, below the table's path, and how many rows (tombstones too) they hold."""
+
     version: int
     n_buckets: int
+    rows: int
     schema: T.StructType
-    buckets: dict[int, str]
+    buckets: dict[int, list[str]]
 
 
 def last_changes(changes: DataFrame, key: str, seq: str, payload: list[str]) -> DataFrame:
@@ -40,24 +51,21 @@ def last_changes(changes: DataFrame, key: str, seq: str, payload: list[str]) ->
     ``changes`` has op (add or delete; anything else has no effect). A change
     with a null key or seq has no effect. Copies of a change count once; where
     their payloads differ, the greatest holds. A key with any number of
-    changes is reduced by partial maxima before anything is shuffled.
+    changes is reduced by partial maxima before the one shuffle.
     """
     effective = changes.where(F.col("op").isin("add", "delete") & F.col(key).isNotNull() & F.col(seq).isNotNull())
-    code = (F.col(seq) * 2 + (F.col("op") == "add").cast("long")).alias("code")
-    coded = effective.select(F.col(key), code, *payload)
-    last = coded.groupBy(key).agg(F.max("code").alias("code"))
-    whole = coded.where(F.col("code") % 2 == 1).groupBy(key, "code").agg(F.max(F.struct(*payload)).alias("__p")) if payload else None
-    if whole is not None:
-        last = last.join(whole, [key, "code"], "left")
-    # floor division also for negative numbers
-    return last.select(key, F.shiftright("code", 1).alias(seq), (F.col("code") % 2 == 0).alias("deleted"), *(F.col(f"__p.{c}").alias(c) for c in payload))
+    added = F.col("op") == "add"
+    change = F.struct((F.col(seq) * 2 + added.cast("long")).alias("__code"), *(F.when(added, F.col(c)).alias(c) for c in payload))
+    last = effective.groupBy(key).agg(F.max(change).alias("__c"))
+    # The shift is a floor division also for negative numbers.
+    return last.select(key, F.shiftright("__c.__code", 1).alias(seq), (F.col("__c.__code") % 2 == 0).alias("deleted"), *(F.col(f"__c.{c}").alias(c) for c in payload))
 
 
 class BucketedTable:
     """A copy-on-write table below ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, seq: str):
-        self.spark, self.path, self.key, self.seq = spark, path.rstrip("/"), key, seq
+    def __init__(self, spark: SparkSession, path: str, key: str, seq: str, rows_per_bucket: int = ROWS_PER_BUCKET):
+        self.spark, self.path, self.key, self.seq, self.rows_per_bucket = spark, path.rstrip("/"), key, seq, rows_per_bucket
 
     # Manifests ------------------------------------------------------------
 
@@ -65,10 +73,7 @@ class BucketedTable:
         return f"{self.path}/_manifests/{version:012d}.json"
 
     def versions(self) -> list[int]:
-        fs, p = fs_of(self.spark, f"{self.path}/_manifests")
-        if not fs.exists(p):
-            return []
-        return sorted(int(n[:-5]) for s in fs.listStatus(p) if (n := s.getPath().getName()).endswith(".json"))
+        return sorted(int(n[:-5]) for n in fs_list(self.spark, f"{self.path}/_manifests") if n.endswith(".json") and n[:-5].isdigit())
 
     def manifest(self, version: int | None = None) -> Manifest | None:
         if version is None:
@@ -76,40 +81,51 @@ class BucketedTable:
         if version is None:
             return None
         m = json.loads(fs_text(self.spark, self._manifest_path(version)))
-        return Manifest(m["version"], m["n_buckets"], T.StructType.fromJson(m["schema"]), {int(b): d for b, d in m["buckets"].items()})
+        return Manifest(m["version"], m["n_buckets"], m["rows"], T.StructType.fromJson(m["schema"]), {int(b): files for b, files in m["buckets"].items()})
 
     def _commit(self, m: Manifest) -> None:
-        """Write the manifest under another name and rename it; if that version is there already, another writer was first."""
-        fs, final = fs_of(self.spark, self._manifest_path(m.version))
-        fs, tmp = fs_of(self.spark, scratch_path(self.spark, "manifest"))
-        text = json.dumps({"version": m.version, "n_buckets": m.n_buckets, "schema": m.schema.jsonValue(), "buckets": m.buckets})
-        fs.mkdirs(final.getParent())
-        tmp = self.spark._jvm.org.apache.hadoop.fs.Path(final.getParent(), "." + tmp.getName())
-        out = fs.create(tmp, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if fs.exists(final) or not fs.rename(tmp, final):
-            fs.delete(tmp, False)
+        """Put the manifest in place whole, or not at all if that version is there: then another writer was first."""
+        text = json.dumps({"version": m.version, "n_buckets": m.n_buckets, "rows": m.rows, "schema": m.schema.jsonValue(), "buckets": m.buckets})
+        if not fs_create_once(self.spark, self._manifest_path(m.version), text):
             raise RuntimeError(f"version {m.version} was committed by another writer")
 
     # Data -----------------------------------------------------------------
 
-    def _files(self, m: Manifest, buckets: list[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}/{d}" for b, d in m.buckets.items() if buckets is None or b in set(buckets)]
-        if not paths:
-            return self.spark.createDataFrame([], m.schema)
-        return self.spark.read.schema(m.schema).parquet(*paths)
-
     def read(self, version: int | None = None, tombstones: bool = False) -> DataFrame:
         """The rows of a version, the newest by default."""
         m = self.manifest(version)
         if m is None:
             raise ValueError("the table has no version yet")
-        rows = self._files(m)
+        paths = [f"{self.path}/{f}" for files in m.buckets.values() for f in files]
+        rows = self.spark.read.schema(m.schema).parquet(*paths) if paths else self.spark.createDataFrame([], m.schema)
         return rows if tombstones else rows.where("NOT deleted").drop("deleted")
 
-    def _bucket(self, n: int):
-        return F.pmod(F.xxhash64(self.key), F.lit(n)).cast("int")
+    def _enough(self, buckets: int, rows: int) -> int:
+        """``buckets``, doubled until they hold ``rows``."""
+        while rows > buckets * self.rows_per_bucket:
+            buckets *= 2
+        return buckets
+
+    def _merge(self, m: Manifest, net: DataFrame, touched: set[int]) -> DataFrame:
+        """The rows of the touched buckets with the changes, each key from whichever is newer, and whether it is ``added``. The buckets are scanned as they lie."""
+        files = [f"{self.path}/{f}" for b in sorted(touched) for f in m.buckets.get(b, ())]
+        base = bucketed_files(self.spark, m.schema, files, m.n_buckets, self.key)
+        names = [c for c in net.columns if c != self.key]
+        left, right = base.select(self.key, F.struct(*names).alias("b")), net.select(self.key, F.struct(*names).alias("c"))
+        both = left.join(right.hint("merge"), self.key, "full")
+        newer = F.when(F.col("c").isNull() | (F.col(f"b.{self.seq}") > F.col(f"c.{self.seq}")), F.col("b")).otherwise(F.col("c"))
+        return both.select(self.key, newer.alias("x"), F.col("b").isNull().alias("added")).select(self.key, *(F.col(f"x.{c}").alias(c) for c in names), "added")
+
+    def _write(self, rows: DataFrame, buckets: int) -> dict[int, list[str]]:
+        """New files of each bucket. The name in the catalog serves the writing only and goes at once; the files stay."""
+        where, name = f"data/{uuid.uuid4().hex}", f"writing_{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(buckets, self.key).sortBy(self.key).option("path", f"{self.path}/{where}").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        out: dict[int, list[str]] = {}
+        for f in sorted(fs_list(self.spark, f"{self.path}/{where}")):
+            if f.endswith(".parquet") and (m := _BUCKET_OF.search(f.split(".")[0])):
+                out.setdefault(int(m[1]), []).append(f"{where}/{f}")
+        return out
 
     def apply(self, changes: DataFrame, payload: list[str]) -> Manifest:
         """Apply a batch and commit it as a new version; a batch without effect commits none.
@@ -118,32 +134,26 @@ class BucketedTable:
         older than what the table holds for its key is dropped.
         """
         net = materialize(last_changes(changes, self.key, self.seq, payload), "changes")
-        old = self.manifest()
-        n = net.count()
+        old, n = self.manifest(), net.count()
         if not n and old:
             return old
-        buckets = old.n_buckets if old else max(16, min(MOST_BUCKETS, -(-n // ROWS_PER_BUCKET)))
         schema = old.schema if old else T.StructType([T.StructField(f.name, f.dataType, True) for f in net.schema])
         if [f.name for f in schema] != net.columns:
             raise ValueError(f"the table has other columns: {schema.names}")
-        routed = net.withColumn("bucket", self._bucket(buckets))
-        touched = [r[0] for r in routed.select("bucket").distinct().collect()]  # at most MOST_BUCKETS numbers
-        version = old.version + 1 if old else 1
-        where = f"data/{version:012d}"
-        merged = routed
+        buckets = self._enough(old.n_buckets if old else LEAST_BUCKETS, n + (old.rows if old else 0))
+        kept: dict[int, list[str]] = {}
         if old:
-            base = self._files(old, touched).withColumn("bucket", self._bucket(buckets))
-            names = [c for c in net.columns if c != self.key]
-            left = base.select("bucket", self.key, F.struct(*names).alias("b"))
-            right = routed.select("bucket", self.key, F.struct(*names).alias("c"))
-            both = left.join(right.hint("merge"), ["bucket", self.key], "full")
-            newer = F.when(F.col("c").isNull() | (F.col(f"b.{self.seq}") > F.col(f"c.{self.seq}")), F.col("b")).otherwise(F.col("c"))
-            merged = both.select("bucket", self.key, newer.alias("x")).select("bucket", self.key, "x.*")
-        spread = max(1, min(buckets, len(touched)))
-        out = merged.select(*net.columns, "bucket").repartition(spread, "bucket").sortWithinPartitions("bucket", self.key)
-        out.write.partitionBy("bucket").parquet(f"{self.path}/{where}")
-        dirs = {**(old.buckets if old else {}), **{b: f"{where}/bucket={b}" for b in touched}}
-        m = Manifest(version, buckets, schema, dirs)
+            touched = set(old.buckets)
+            if buckets == old.n_buckets:  # else all are written anew
+                touched = {r[0] for r in net.select(F.pmod(F.hash(self.key), F.lit(buckets))).distinct().collect()}  # a number for each bucket
+                kept = {b: f for b, f in old.buckets.items() if b not in touched}
+            merged = self._merge(old, net, touched)
+        else:
+            merged = net.repartition(buckets, self.key).withColumn("added", F.lit(True))
+        seen = Observation()
+        written = self._write(merged.observe(seen, F.count_if("added").alias("added")).select(*net.columns), buckets) if n else {}
+        rows = (old.rows if old else 0) + (seen.get["added"] if n else 0)
+        m = Manifest(old.version + 1 if old else 1, buckets, rows, schema, kept | written)
         self._commit(m)
         return m
 
@@ -151,14 +161,15 @@ class BucketedTable:
         """Drop all but the last ``keep`` versions and the files that only they name."""
         versions = self.versions()
         kept, gone = versions[-keep:], versions[:-keep]
-        live = {d.rsplit("/", 1)[0] for v in kept for d in self.manifest(v).buckets.values()}
-        needed = {d for v in kept for d in self.manifest(v).buckets.values()}
+        named = lambda vs: {f for v in vs for files in self.manifest(v).buckets.values() for f in files}
+        needed, dropped = named(kept), named(gone)
+        live = {f.rsplit("/", 1)[0] for f in needed}
+        for d in {f.rsplit("/", 1)[0] for f in dropped} - live:
+            fs_delete(self.spark, f"{self.path}/{d}")
+        for f in dropped - needed:
+            if f.rsplit("/", 1)[0] in live:
+                fs_delete(self.spark, f"{self.path}/{f}")
         for v in gone:
-            for d in self.manifest(v).buckets.values():
-                if d not in needed:
-                    fs_delete(self.spark, f"{self.path}/{d}")
-            if f"data/{v:012d}" not in live:
-                fs_delete(self.spark, f"{self.path}/data/{v:012d}")
             fs_delete(self.spark, self._manifest_path(v))
         return gone
 

@@ -14,8 +14,10 @@ import uuid
 import weakref
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is hot when it holds more rows than this; of these the MOST_HOT most frequent are treated as hot, the others can't be a large part.
 HOT_ROWS = 50_000
@@ -114,6 +116,64 @@ def fs_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def fs_list(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no such folder."""
+    fs, p = fs_of(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def fs_create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file so that readers find it whole, and only if there is none of that name; whether this call did.
+
+    The file is renamed into place without overwriting. HDFS does that in one
+    step; on an object store it needs a committer or a lock that makes renames
+    exclusive, or a single writer.
+    """
+    jvm = spark._jvm
+    fs, final = fs_of(spark, path)
+    fs.mkdirs(final.getParent())
+    tmp = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(tmp, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    never = spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(final), never)
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception):
+            raise
+        fs.delete(tmp, False)
+        return False
+
+
+def bucketed_files(spark: SparkSession, schema: T.StructType, files: list[str], buckets: int, key: str) -> DataFrame:
+    """Parquet files written with Spark's bucketing by ``key``, as a table that keeps it: a join on the key doesn't shuffle them.
+
+    A catalog table would be its whole folder; here it is just these files.
+    """
+    if not files:
+        return spark.createDataFrame([], schema)
+    jvm, session = spark._jvm, spark._jsparkSession
+    sources, convert = jvm.org.apache.spark.sql.execution.datasources, jvm.scala.jdk.javaapi.CollectionConverters
+
+    def seq(items):
+        out = jvm.java.util.ArrayList()
+        for x in items:
+            out.add(x)
+        return convert.asScala(out).toSeq()
+
+    def module(of, name):
+        return getattr(getattr(of, f"{name}$"), "MODULE$")
+
+    kind, some, none = session.parseDataType(schema.json()), jvm.scala.Some, module(jvm.scala, "None")
+    options = module(jvm.scala.collection.immutable, "Map").empty()
+    index = sources.InMemoryFileIndex(session, seq(jvm.org.apache.hadoop.fs.Path(f) for f in files), options, some(kind), module(sources, "NoopCache"), none, none)
+    spec = jvm.org.apache.spark.sql.catalyst.catalog.BucketSpec(buckets, seq([key]), seq([key]))
+    relation = sources.HadoopFsRelation(index, jvm.org.apache.spark.sql.types.StructType(), kind, some(spec), sources.parquet.ParquetFileFormat(), options, session)
+    return DataFrame(session.baseRelationToDataFrame(relation), spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -46,6 +46,24 @@ def test_only_touched_buckets_are_written_anew(spark, tmp_path):
         t._commit(second)
 
 
+def test_buckets_split_as_the_table_grows(spark, tmp_path):
+    t = BucketedTable(spark, f"file://{tmp_path}/t", "id", "seq", rows_per_bucket=20_000)
+    few = t.apply(spark.createDataFrame([("add", k, k, "a") for k in range(10)], CHANGES), ["text"])
+    assert (few.n_buckets, few.rows) == (16, 10)
+    many = spark.range(1_000_000).selectExpr("'add' AS op", "id", "id + 100 AS seq", "'b' AS text")
+    m = t.apply(many, ["text"])
+    assert (m.n_buckets, m.rows) == (64, 1_000_000) and len(m.buckets) == 64
+    assert t.read().count() == t.read().where("text = 'b'").select("id").distinct().count() == 1_000_000
+    sizes = [r[0] for r in t.read().selectExpr("pmod(hash(id), 64) AS b").groupBy("b").count().select("count").collect()]
+    assert max(sizes) < 20_000
+    # A small batch then writes its own buckets only, scans them as they lie and shuffles nothing but the changes.
+    last = t.apply(spark.createDataFrame([("delete", 5, 10**9, None)], CHANGES), ["text"])
+    assert sum(m.buckets[b] != last.buckets[b] for b in m.buckets) == 1
+    assert t.read().count() == 999_999 and last.rows == 1_000_000
+    plan = t._merge(last, spark.createDataFrame([(1, 1, False, "c")], "id long, seq long, deleted boolean, text string"), {0})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
 def test_an_empty_feed_gives_an_empty_table(spark, tmp_path):
     t = BucketedTable(spark, f"file://{tmp_path}/t", "id", "seq")
     t.apply(spark.createDataFrame([], CHANGES), ["text"])
