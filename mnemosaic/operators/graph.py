@@ -36,7 +36,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """
     if max_hops < 1:
         raise InvalidMaxHopsError(f"max_hops must be at least 1, not {max_hops}")
-    steps = edges.select("src", F.col("dst").alias("id")).distinct()
+    steps = edges.select("src", F.col("dst").alias("id"))  # parallel relations go with what the front reaches, not with a shuffle of all edges
     found = seeds.select("id").distinct().withColumn("hops", F.lit(0))
     front = found
     for hop in range(1, max_hops + 1):

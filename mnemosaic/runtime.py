@@ -122,6 +122,14 @@ def fs_list(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def fs_stamp(spark: SparkSession, path: str) -> tuple:
+    """Path, size and time of a file or folder: equal as long as it wasn't written again."""
+    fs, p = fs_of(spark, path)
+    status = fs.getFileStatus(p)
+    files = list(fs.listStatus(p)) if status.isDirectory() else [status]
+    return (path, sum(f.getLen() for f in files), max([status.getModificationTime(), *(f.getModificationTime() for f in files)]))
+
+
 def fs_create_once(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small file so that readers find it whole, and only if there is none of that name; whether this call did.
 

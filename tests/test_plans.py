@@ -54,3 +54,18 @@ def test_strict_cosine_and_query_errors():
             check_query(q)
     with pytest.raises(errors.DimensionMismatchError):
         check_query([1, 2], 3)
+
+
+def test_predicates_reach_the_scan(spark, small):
+    from mnemosaic.plans import catalog
+
+    def scan(name):
+        plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "FileScan" in line and "created_at" in line or "embedding" in line and "FileScan" in line or "PartitionFilters" in line]
+
+    time = scan("time_range")
+    assert len(time) == 1 and "GreaterThanOrEqual(created_at" in time[0] and "LessThanOrEqual(created_at" in time[0] and "content" not in time[0]
+    for name in ("scan_collection", "vec_knn_collection", "filter_meta_time_coll"):
+        assert any("PartitionFilters: [(coalesce(collection" in line for line in scan(name)), name
+    assert "embedding" not in scan("scan_collection")[0]
+    assert any("EqualTo(src," in line for line in scan("graph_neighbors"))
