@@ -3,7 +3,8 @@
 Direct orphans are references to a record that is missing, deleted or not yet
 there at the time of the reference. Inherited ones follow by a fixpoint: what
 refers to the owner of an orphaned reference is orphaned in turn, found by
-joins of each new level with the references until no level is new.
+semi-joins of each new level with the references until no level is new. All
+queries read the result of this one cascade; direct orphans are its level 0.
 """
 
 from __future__ import annotations
@@ -76,63 +77,73 @@ def log_orphans(log: DataFrame, commands: DataFrame, block: int = COMMAND_BLOCK)
     return found.select(F.col("command_id").alias("record_id"), "ref_field", "ref_id", "owner", "recorded_at")
 
 
-def inherited(references: DataFrame, direct: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """(record_id, level) of the references that are orphaned only through others.
+def cascade(references: DataFrame, direct: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """All orphaned references: those of ``direct`` with ``level`` 0, and the inherited ones with the length of the shortest chain that leads to a direct one.
 
-    ``references`` has record_id, owner and ref_id, ``direct`` record_id and
-    owner. The owner of an orphaned reference is orphaned; a reference to an
-    orphaned record is orphaned at the next level. Cycles end, as no owner is
-    taken twice.
+    Both have record_id, ref_field, ref_id and owner. The owner of an orphaned
+    reference is orphaned; a reference to an orphaned record is orphaned at the
+    next level, unless its record has a direct orphan. Owners are found level by
+    level, by semi-joins of the references with the newest level, one written
+    table each; a cycle ends, as no owner is taken twice. Null owners pass
+    nothing on. Repeated rows count once.
     """
-    refs = references.where("owner IS NOT NULL AND ref_id IS NOT NULL").select("record_id", "owner", "ref_id").distinct()
+    columns = ["record_id", "ref_field", "ref_id", "owner"]
+    direct = materialize(direct.select(columns).distinct(), "direct")
+    refs = references.where("owner IS NOT NULL AND ref_id IS NOT NULL").select(columns).distinct()
     refs = materialize(refs.join(direct.select("record_id").distinct(), "record_id", "left_anti"), "references")
     hot = hot_keys(refs, "ref_id", hot_rows)
-    front = materialize(direct.where("owner IS NOT NULL").select(F.col("owner").alias("ref_id")).distinct(), "front")
-    done, out, level = front, None, 0
+    front = direct.where("owner IS NOT NULL").select(F.col("owner").alias("ref_id")).distinct()
+    front = materialize(front.withColumn("level", F.lit(1)), "front")
+    done = front
     while front.limit(1).count():
-        level += 1
-        hit = materialize(skew_safe_join(refs, front, "ref_id", "inner", hot=hot).withColumn("level", F.lit(level)), "level")
-        out = hit if out is None else out.unionByName(hit)
-        front = materialize(hit.select(F.col("owner").alias("ref_id")).distinct().join(done, "ref_id", "left_anti"), "front")
+        hit = skew_safe_join(refs.select("ref_id", "owner"), front, "ref_id", "inner", hot=hot)
+        new = hit.groupBy(F.col("owner").alias("ref_id")).agg((F.first("level") + 1).alias("level"))
+        front = materialize(new.join(done, "ref_id", "left_anti"), "front")
         done = done.unionByName(front)
-    if out is None:
-        return refs.limit(0).select("record_id", F.lit(0).alias("level"))
-    return out.groupBy("record_id").agg(F.min("level").alias("level"))
+    inherited = skew_safe_join(refs, done, "ref_id", "inner", hot=hot)
+    return direct.withColumn("level", F.lit(0)).unionByName(inherited.select(*columns, "level"))
 
 
-def _inputs(spark: SparkSession, sf_dir: str):
+# The two tables that refer to others go through one fixpoint: even numbers are those of edges and memories, odd ones those of the log.
+_APART = ("record_id", "owner", "ref_id")
+
+
+def _told_apart(df: DataFrame, odd: int) -> DataFrame:
+    return df.select(*((F.col(c) * 2 + odd).alias(c) if c in _APART else F.col(c) for c in df.columns))
+
+
+def orphan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, record_id, ref_field, ref_id, owner, level, recorded_at) of all orphaned references of edges and of the log; recorded_at is the first of the record."""
     log = log_commands(spark, sf_dir)
     both = log.select("command_id", "op", "id").unionByName(wal_commands(spark, sf_dir).select("command_id", "op", "id"))
     edges = read_table(spark, sf_dir, "edges")
-    direct = edge_orphans(edges, read_table(spark, sf_dir, "memories"), read_table(spark, sf_dir, "tombstones"))
-    return edges, log, direct, log_orphans(log, both)
+    columns = ["record_id", "ref_field", "ref_id", "owner"]
+    missing = edge_orphans(edges, read_table(spark, sf_dir, "memories"), read_table(spark, sf_dir, "tombstones"))
+    direct = _told_apart(missing.select(columns), 0).unionByName(_told_apart(log_orphans(log, both).select(columns), 1))
+    of_edges = edges.select(F.col("edge_id").alias("record_id"), F.lit("dst").alias("ref_field"), F.col("dst").alias("ref_id"), F.col("src").alias("owner"), "recorded_at")
+    of_log = log.where("op = 'connect'").select(F.col("command_id").alias("record_id"), F.lit("id2").alias("ref_field"), F.col("dst").alias("ref_id"), F.col("src").alias("owner"), "recorded_at")
+    refs = _told_apart(of_edges, 0).unionByName(_told_apart(of_log, 1))
+    times = refs.where("record_id IS NOT NULL").groupBy("record_id").agg(F.min("recorded_at").alias("recorded_at"))
+    odd = F.pmod("record_id", F.lit(2))
+    named = cascade(refs.select(columns), direct).join(times, "record_id", "left")
+    back = [F.shiftright(c, 1).alias(c) for c in _APART]
+    return named.select(F.when(odd == 0, "edges").otherwise("replay_log").alias("table_name"), back[0], "ref_field", back[2], back[1], "level", "recorded_at")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References without a record at that time."""
-    _, _, edges, log = _inputs(spark, sf_dir)
-    columns = ["table_name", "record_id", "ref_field", "ref_id"]
-    named = edges.withColumn("table_name", F.lit("edges")).select(columns).unionByName(log.withColumn("table_name", F.lit("replay_log")).select(columns))
-    return named.distinct()
+    """References without a record at that time: level 0 of the cascade."""
+    return orphan_references(spark, sf_dir).where("level = 0").select("table_name", "record_id", "ref_field", "ref_id").distinct()
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with direct and with inherited orphan references, by table and month of ``recorded_at``."""
-    edges, log, direct_edges, direct_log = _inputs(spark, sf_dir)
-    of_edges = edges.select(F.col("edge_id").alias("record_id"), F.col("src").alias("owner"), F.col("dst").alias("ref_id"), "recorded_at")
-    of_log = log.where("op = 'connect'").select(F.col("command_id").alias("record_id"), F.col("src").alias("owner"), F.col("dst").alias("ref_id"), "recorded_at")
+    records = orphan_references(spark, sf_dir).groupBy("table_name", "record_id").agg(F.min("level").alias("level"), F.first("recorded_at").alias("recorded_at"))
+    return records.groupBy("table_name", F.date_format("recorded_at", "yyyy-MM").alias("month")).agg(F.count_if(F.col("level") == 0).alias("direct"), F.count_if(F.col("level") > 0).alias("inherited"))
 
-    # Both tables go through one fixpoint: even numbers are those of edges and memories, odd ones those of the log.
-    def told_apart(df: DataFrame, odd: int) -> DataFrame:
-        return df.select(*((F.col(c) * 2 + odd).alias(c) if c in ("record_id", "owner", "ref_id") else F.col(c) for c in df.columns))
 
-    refs = told_apart(of_edges, 0).unionByName(told_apart(of_log, 1))
-    columns = ["record_id", "owner"]
-    direct = materialize(told_apart(direct_edges.select(columns), 0).unionByName(told_apart(direct_log.select(columns), 1)), "direct")
-    times = refs.groupBy("record_id").agg(F.min("recorded_at").alias("recorded_at"))
-    kinds = direct.select("record_id").distinct().withColumn("kind", F.lit("direct")).unionByName(inherited(refs, direct).select("record_id", F.lit("inherited").alias("kind")))
-    table = F.when(F.col("record_id") % 2 == 0, "edges").otherwise("replay_log").alias("table_name")
-    return kinds.join(times, "record_id").groupBy(table, F.date_format("recorded_at", "yyyy-MM").alias("month")).agg(F.count_if(F.col("kind") == "direct").alias("direct"), F.count_if(F.col("kind") == "inherited").alias("inherited"))
+def p6_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many references are orphaned at each level of the cascade, by table."""
+    return orphan_references(spark, sf_dir).groupBy("table_name", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 _DIRECT_SQL = rf"""
@@ -159,4 +170,10 @@ bad AS (WITH RECURSIVE b AS (SELECT t, owner AS id FROM direct WHERE owner IS NO
 kinds AS (SELECT DISTINCT t, rec, 'direct' AS kind FROM direct UNION ALL SELECT DISTINCT o.t, o.rec, 'inherited' FROM other o JOIN bad ON bad.t = o.t AND bad.id = o.ref),
 times AS (SELECT 'edges' AS t, edge_id AS rec, min(recorded_at) AS ts FROM edges GROUP BY edge_id UNION ALL SELECT 'replay_log', command_id, min(recorded_at) FROM connects GROUP BY command_id)
 SELECT t AS table_name, strftime(ts, '%Y-%m') AS month, count(*) FILTER (kind = 'direct') AS direct, count(*) FILTER (kind = 'inherited') AS inherited FROM kinds JOIN times USING (t, rec) GROUP BY 1, 2""",
+    "p6_levels": f"""WITH {_DIRECT_SQL},
+direct AS (SELECT DISTINCT 'edges' AS t, edge_id AS rec, 'dst' AS field, dst AS ref, src AS owner FROM direct_edges UNION SELECT 'replay_log', command_id, ref_field, ref_id, src FROM direct_log),
+refs AS (SELECT DISTINCT 'edges' AS t, edge_id AS rec, src AS owner, dst AS ref FROM edges UNION SELECT 'replay_log', command_id, src, dst FROM connects),
+other AS (SELECT * FROM refs r WHERE owner IS NOT NULL AND ref IS NOT NULL AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.t = r.t AND d.rec = r.rec)),
+bad AS (WITH RECURSIVE b AS (SELECT DISTINCT t, owner AS id, 1 AS level FROM direct WHERE owner IS NOT NULL UNION SELECT o.t, o.owner, level + 1 FROM other o JOIN b ON b.t = o.t AND b.id = o.ref WHERE level < 40) SELECT t, id, min(level) AS level FROM b GROUP BY t, id)
+SELECT t AS table_name, level::INT AS level, count(*) AS n FROM (SELECT t, 0 AS level FROM direct UNION ALL SELECT o.t, bad.level FROM other o JOIN bad ON bad.t = o.t AND bad.id = o.ref) GROUP BY ALL""",
 }

@@ -631,6 +631,7 @@ def queries() -> dict[str, Query]:
         "p4_state": changefeed.p4_state,
         "p6_found": orphans.p6_found,
         "p6_report": orphans.p6_report,
+        "p6_levels": orphans.p6_levels,
     }
 
 

@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A key is hot when it holds more rows than this; of these the MOST_HOT most frequent are treated as hot, the others can't be a large part.
+#: A key is hot when it holds more rows than this.
 HOT_ROWS = 50_000
-MOST_HOT = 1000
+#: Hot keys that are broadcast at most; beyond that each is salted into SALTS tasks.
+MOST_HOT = 20_000
+SALTS = 32
 
 _runs: dict[str, str] = {}
 
@@ -198,27 +200,35 @@ def broadcast_if_below(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None) -> list:
-    """The values of ``key`` with more than ``hot_rows`` rows, the MOST_HOT most frequent at most."""
+def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+    """The values of ``key`` with more than ``hot_rows`` rows, all of them, as a written table."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    found = counts.where(F.col("count") > hot_rows).orderBy(F.desc("count")).limit(MOST_HOT).collect()
-    return [r[0] for r in found]
+    return materialize(counts.where(F.col("count") > hot_rows).select(key), "hot")
 
 
-def skew_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int | None = None, hot: list | None = None) -> DataFrame:
+def skew_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Equi-join with a ``right`` that is unique in ``key``, whose hot left keys never meet in one task.
 
-    Rows of hot keys join a broadcast of the few (at most MOST_HOT) right rows
-    they need, and stay where they are; all others are shuffled. Keys are
-    numbers or strings; ``hot`` gives hot keys that are known already.
+    Up to MOST_HOT hot keys are broadcast with the right rows they need, and
+    their left rows stay where they are; all others are shuffled. More hot keys
+    than that are salted: their left rows are spread over SALTS tasks a key, to
+    each of which the right row goes. ``hot`` gives a table of the hot keys that
+    is known already.
     """
     hot = hot_keys(left, key, hot_rows) if hot is None else hot
-    if not hot:
+    n = hot.limit(MOST_HOT + 1).count()
+    if not n:
         return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    few = F.broadcast(right.where(F.col(key).isin(hot)))
-    return left.where(~is_hot).join(right, key, how).unionByName(left.where(is_hot).join(few, key, how))
+    if n > MOST_HOT:
+        marked = left.join(hot.withColumn("__hot", F.lit(True)), key, "left")
+        salted = marked.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)).drop("__hot")
+        spread = right.join(hot.withColumn("__hot", F.lit(True)), key, "left")
+        spread = spread.withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+        return salted.join(spread, [key, "__salt"], how).drop("__salt")
+    few = F.broadcast(hot)
+    there = F.broadcast(right.join(few, key, "left_semi"))
+    return left.join(few, key, "left_anti").join(right, key, how).unionByName(left.join(few, key, "left_semi").join(there, key, how))
 
 
 def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:

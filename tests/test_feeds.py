@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from mnemosaic import runtime
 from mnemosaic.operators import orphans
 from mnemosaic.operators.changefeed import BucketedTable
 from mnemosaic.runtime import hot_keys, numbered, skew_safe_join
@@ -104,21 +105,23 @@ def test_references_of_the_log(spark, block):
     assert got == want
 
 
-def test_inherited_orphans(spark):
-    refs = spark.createDataFrame([(1, 10, 99), (2, 11, 10), (3, 12, 11), (4, 11, 12), (5, 13, 14), (6, 15, None), (6, 15, None)], "record_id long, owner long, ref_id long")
-    direct = refs.where("record_id = 1").select("record_id", "owner")
-    got = {r["record_id"]: r["level"] for r in orphans.inherited(refs, direct).collect()}
-    assert got == {2: 1, 3: 2, 4: 3}
-    assert orphans.inherited(refs, direct.limit(0)).count() == 0
+def test_cascade(spark):
+    refs = spark.createDataFrame([(1, 10, 99), (2, 11, 10), (3, 12, 11), (4, 11, 12), (5, 13, 14), (6, 15, None), (6, 15, None)], "record_id long, owner long, ref_id long").selectExpr("*", "'f' AS ref_field")
+    direct = refs.where("record_id = 1")
+    for hot in (None, 0):  # also with every reference hot
+        got = {r["record_id"]: r["level"] for r in orphans.cascade(refs, direct, hot).collect()}
+        assert got == {1: 0, 2: 1, 3: 2, 4: 3}
+    assert orphans.cascade(refs, direct.limit(0)).count() == 0
 
 
-def test_hot_keys_and_joins(spark):
+def test_hot_keys_and_joins(spark, monkeypatch):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (None, 1)], "k long, v long")
     right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, w string")
-    assert hot_keys(left, "k", 10) == [1]
-    for how, n in (("left", 52), ("inner", 51)):
-        assert sorted(map(str, skew_safe_join(left, right, "k", how, 10).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
-        assert skew_safe_join(left, right, "k", how, 10).count() == n
+    assert [r[0] for r in hot_keys(left, "k", 10).collect()] == [1]
+    for most in (20_000, 0):  # broadcast, and salted
+        monkeypatch.setattr(runtime, "MOST_HOT", most)
+        for how in ("left", "inner"):
+            assert sorted(map(str, skew_safe_join(left, right, "k", how, 10).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
 
 
 def test_numbered(spark):
