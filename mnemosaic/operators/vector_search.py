@@ -15,6 +15,9 @@ from ..functions.vector import check_query, cosine, l2_score
 PREFIX = 8
 METRICS = {"cosine": cosine, "l2": l2_score}
 QUERIES_AT_ONCE = 4_096
+#: Queries that go to every task with the function at most (of 64 components: 17 MB), and memories of a block beyond that.
+QUERIES_IN_TASKS = 32_768
+ROWS_AT_ONCE = 65_536
 
 
 def _check_k(k: int) -> None:
@@ -76,60 +79,98 @@ def _best(s: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
     return keep
 
 
+def _unit_rows(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors have ``d`` components, and these with unit length (zero vectors stay zero)."""
+    offsets = column.offsets.to_numpy()
+    fits = np.flatnonzero(np.diff(offsets) == d)
+    flat = column.values.to_numpy(zero_copy_only=False)
+    x = flat[(offsets[:-1][fits][:, None] + np.arange(d)[None, :])].astype(np.float64)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return fits, np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+_SCORES = "query_id long, id long, score double"
+
+
+def _score_table(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> dict[str, pa.Array]:
+    return {"query_id": pa.array(np.repeat(query_ids, scores.shape[1])), "id": pa.array(np.ascontiguousarray(ids).ravel()), "score": pa.array(scores.ravel())}
+
+
+def _cut(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if s.shape[1] <= k:
+        return s, i
+    keep = _best(s, i, k)
+    return np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
+
+
+def _scan_for(memories: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+    """Queries known to every task: one scan, nothing of the memories is shuffled; a task keeps k rows of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list = [None] * -(-len(ids) // QUERIES_AT_ONCE)
+        for batch in batches:
+            fits, x = _unit_rows(batch.column(1), matrix.shape[1])
+            own = batch.column(0).to_numpy()[fits]
+            for a in range(0, len(fits), 4096):
+                for b in range(len(best)):
+                    s = matrix[b * QUERIES_AT_ONCE : (b + 1) * QUERIES_AT_ONCE] @ x[a : a + 4096].T
+                    i = np.broadcast_to(own[a : a + 4096], s.shape)
+                    if best[b] is not None:
+                        s, i = np.hstack([best[b][0], s]), np.hstack([best[b][1], i])
+                    best[b] = _cut(s, i, k)
+        for b, found in enumerate(best):
+            if found is not None:
+                yield pa.RecordBatch.from_pydict(_score_table(ids[b * QUERIES_AT_ONCE : (b + 1) * QUERIES_AT_ONCE], found[1], found[0]))
+
+    return memories.mapInArrow(run, _SCORES)
+
+
+def _meet_in_blocks(memories: DataFrame, queries: DataFrame, n: int, rows: int, k: int) -> DataFrame:
+    """Any number of queries: blocks of queries meet blocks of memories, each pair in a task of its own."""
+    qs, bs = -(-n // QUERIES_AT_ONCE), max(1, -(-rows // ROWS_AT_ONCE))
+
+    def rank(asked: pa.Table, some: pa.Table) -> pa.Table:
+        if not asked.num_rows or not some.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        q = asked["embedding"].combine_chunks()
+        d = len(q[0])
+        kept, x = _unit_rows(q, d)
+        fits, y = _unit_rows(some["embedding"].combine_chunks(), d)
+        ids, own = asked["query_id"].to_numpy()[kept], some["id"].to_numpy()[fits]
+        out = []
+        for a in range(0, len(ids), 512):
+            s = x[a : a + 512] @ y.T
+            s, i = _cut(s, np.broadcast_to(own, s.shape), k)
+            out.append(pa.table(_score_table(ids[a : a + 512], i, s)))
+        return pa.concat_tables(out)
+
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(qs)).cast("int").alias("q"), every(bs).alias("b"), "query_id", "embedding")
+    right = memories.select(F.pmod(F.xxhash64("id"), F.lit(bs)).cast("int").alias("b"), every(qs).alias("q"), "id", "embedding").select("q", "b", "id", "embedding")
+    return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(rank, _SCORES)
+
+
 def knn_batch(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of the k most similar memories of each query (query_id, embedding).
+    """(query_id, id, score, rank) of the k most similar memories of each query (query_id, embedding); all queries need one length.
 
-    Queries are taken in blocks of QUERIES_AT_ONCE, so what each task holds is
-    bounded; every block is one matrix product per batch of memories, and a
-    task keeps k rows of each query before anything is shuffled.
+    Up to QUERIES_IN_TASKS queries go to every task with the function, and the
+    table is scanned once, each block of queries as one matrix product per batch
+    of memories. More queries than that meet the memories block by block in
+    tasks of their own, so neither the driver nor a task holds them all.
     """
     _check_k(k)
-    rows = queries.where("embedding IS NOT NULL").select("query_id", "embedding").toLocalIterator()
-    out: DataFrame | None = None
-    block: list = []
-
-    def one(block: list) -> DataFrame:
-        ids = np.array([r["query_id"] for r in block], np.int64)
-        matrix = np.array([r["embedding"] for r in block], np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: tuple[np.ndarray, np.ndarray] | None = None
-            for batch in batches:
-                vectors = batch.column(1)
-                offsets = vectors.offsets.to_numpy()
-                fits = np.flatnonzero(np.diff(offsets) == matrix.shape[1])
-                if not len(fits):
-                    continue
-                flat = vectors.values.to_numpy(zero_copy_only=False)
-                x = flat[(offsets[:-1][fits][:, None] + np.arange(matrix.shape[1])[None, :])].astype(np.float64)
-                n = np.linalg.norm(x, axis=1)
-                x = np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
-                for a in range(0, len(fits), 4096):
-                    s = matrix @ x[a : a + 4096].T
-                    i = np.broadcast_to(batch.column(0).to_numpy()[fits[a : a + 4096]], s.shape)
-                    if best is not None:
-                        s, i = np.hstack([best[0], s]), np.hstack([best[1], i])
-                    if s.shape[1] > k:
-                        keep = _best(s, i, k)
-                        s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-                    best = s, i
-            if best is not None:
-                s, i = best
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, s.shape[1])), pa.array(np.ascontiguousarray(i).ravel()), pa.array(s.ravel())], names=["query_id", "id", "score"])
-
-        return memories.where("embedding IS NOT NULL").select("id", "embedding").mapInArrow(run, "query_id long, id long, score double")
-
-    for row in rows:
-        block.append(row)
-        if len(block) == QUERIES_AT_ONCE:
-            out = one(block) if out is None else out.unionByName(one(block))
-            block = []
-    if block or out is None:
-        if not block:
-            return memories.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-        out = one(block) if out is None else out.unionByName(one(block))
+    asked = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
+    rows = memories.where("embedding IS NOT NULL").select("id", "embedding")
+    some = asked.limit(QUERIES_IN_TASKS + 1).toArrow()
+    if not some.num_rows:
+        return memories.sparkSession.createDataFrame([], _SCORES + ", rank int")
+    if some.num_rows <= QUERIES_IN_TASKS:
+        column = some["embedding"].combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        fits, matrix = _unit_rows(column, len(column[0]))
+        out = _scan_for(rows, some["query_id"].to_numpy()[fits].astype(np.int64), matrix, k)
+    else:
+        out = _meet_in_blocks(rows, asked, asked.count(), rows.count(), k)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

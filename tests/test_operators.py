@@ -229,3 +229,21 @@ def test_embedders(spark):
     assert got[1] == pytest.approx(v, rel=1e-6) and len(got[2]) == 20
     made = {r["id"]: r["e"] for r in df.select("id", hash_embedding(F.col("text"), 20).alias("e")).collect()}
     assert made[1] == pytest.approx(v) and made[2] == pytest.approx(h.embed(""))
+
+
+def test_many_queries_in_tasks_and_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from mnemosaic.operators import vector_search as vs
+
+    x = np.random.default_rng(7).normal(size=(90, 6)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0]), (901, None)], "id long, embedding array<float>")
+    asked = rows.where("id < 90 AND id % 2 = 0").withColumnRenamed("id", "query_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, int(j), r + 1) for i in range(0, 90, 2) for r, j in enumerate(np.argsort(-(u @ u[i]), kind="stable")[:4])}
+    for at_once, in_tasks, block in ((4096, 32768, 65536), (7, 32768, 65536), (16, 0, 20)):
+        monkeypatch.setattr(vs, "QUERIES_AT_ONCE", at_once)
+        monkeypatch.setattr(vs, "QUERIES_IN_TASKS", in_tasks)
+        monkeypatch.setattr(vs, "ROWS_AT_ONCE", block)
+        assert {(r["query_id"], r["id"], r["rank"]) for r in vs.knn_batch(rows, asked, 4).collect()} == want
+    assert vs.knn_batch(rows, asked.limit(0), 4).count() == 0
