@@ -2,11 +2,18 @@
 
 The neighbour graph of a bounded sample is cut into balanced partitions, and a
 small network learns to tell from a vector in which partitions its neighbours
-lie. Every vector of the table is indexed in its most probable partition;
-queries go to their most probable partitions and are ranked there exactly.
-Only the network is fitted on a sample: each row is indexed and each query is
+lie. Every vector of the table is indexed in its most probable partition; a
+query goes to every partition that holds its neighbours with at least the
+probability ``chance``, so to 1 / chance at most, and is ranked there exactly.
+Only the networks are fitted on samples: each row is indexed and each query is
 answered.
 
+A sample can tell only so many partitions apart. A larger table is partitioned
+in levels: each partition is cut again by a network of its own, fitted on a
+bounded sample of its rows, until partitions hold about PARTITION_ROWS. The
+probabilities of the levels are multiplied, so ``chance`` means the same at
+every size.
+
 Equal vectors are one entry of the index, so copies cost nothing; the result
 gives each copy its neighbours. A partition with more rows than a block holds
 is searched block by block in separate tasks.
@@ -14,6 +21,8 @@ is searched block by block in separate tasks.
 
 from __future__ import annotations
 
+import io
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, read_table, skew_safe_join
+from ..operators.vector_search import knn_batch
+from ..runtime import broadcast_if_below, materialize, read_table, skew_safe_join
 from .sampling import bounded_sample
 
-SAMPLE = 16_384  # vectors the partitions and the network are fitted on
-PARTITION_ROWS = 2_000  # rows aimed at in a partition, as far as the sample can tell partitions apart
+SAMPLE = 16_384  # vectors that the partitions and the network of a level are fitted on
+PARTITION_ROWS = 2_000  # rows aimed at in a partition of the last level
 LEAST_SAMPLE = 24  # sampled vectors in a partition at least
-BLOCK = 4_096  # rows of a partition that one task searches
-QUERY_BLOCK = 16_384  # queries of one task
+BLOCK = 8_192  # rows of a partition that one task searches
+QUERY_BLOCK = 32_768  # queries of one task
+ROUTED = 65_536  # rows that one task takes to the next level
 NEIGHBOURS = 10
+EDGE = 2e-6  # more than 32-bit scores can be wrong by
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -103,12 +115,25 @@ class Router:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
-    def route(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The most probable partitions of each row, the best first."""
+    def route(self, x: np.ndarray, chance: float | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, partition, probability, whether it is the row's most probable) of the best partition of each row and of all with at least ``chance``."""
         z = self.logits(x)
-        probes = min(probes, z.shape[1])
-        some = np.argpartition(-z, probes - 1, axis=1)[:, :probes]
-        return np.take_along_axis(some, np.argsort(-np.take_along_axis(z, some, 1), axis=1, kind="stable"), 1)
+        z = np.exp(z - z.max(1, keepdims=True))
+        z /= z.sum(1, keepdims=True)
+        best = z.argmax(1)
+        keep = z >= chance
+        keep[np.arange(len(x)), best] = True
+        row, part = np.nonzero(keep)
+        return row, part, z[row, part].astype(np.float64), part == best[row]
+
+    def pack(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, w1=self.w1, b1=self.b1, w2=self.w2, b2=self.b2)
+        return out.getvalue()
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Router:
+        return cls(**np.load(io.BytesIO(raw)))
 
 
 def train(x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, hidden: int = 128, epochs: int = 24, seed: int = 5) -> Router:
@@ -140,9 +165,9 @@ def train(x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, hidde
     return Router(*p)
 
 
-def fit(sample: np.ndarray, rows: int) -> Router:
-    """The router for a table of ``rows`` vectors."""
-    parts = max(1, min(-(-rows // PARTITION_ROWS), len(sample) // LEAST_SAMPLE))
+def fit(sample: np.ndarray, parts: int) -> Router:
+    """The router to ``parts`` partitions, or to as many as the sample can tell apart."""
+    parts = max(1, min(parts, len(sample) // LEAST_SAMPLE))
     if parts == 1:
         d = sample.shape[1] if len(sample) else 64
         return Router(np.zeros((d, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32))
@@ -151,6 +176,11 @@ def fit(sample: np.ndarray, rows: int) -> Router:
     return train(sample, graph, label, parts)
 
 
+def parts_of_level(rows: float, levels_left: int, partition_rows: int) -> int:
+    """Into how many partitions ``rows`` are cut, if that many levels are to bring them to ``partition_rows``."""
+    return max(1, math.ceil(round((rows / partition_rows) ** (1 / levels_left), 6)))
+
+
 # Spark ----------------------------------------------------------------------
 
 
@@ -175,64 +205,109 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _spread(keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """A number below ``parts`` for each key, by hash."""
-    h = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    return (h % parts.astype(np.uint64)).astype(np.int32)
+_ROUTED = "part long, role byte, p double, rep long"
 
 
-def _load(entries: DataFrame, router: Router, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and queries of each partition."""
-    parts = router.parts
+def _first_level(entries: DataFrame, router: Router, chance: float, vectors: bool) -> DataFrame:
+    """(part, role, p, rep) and the vector if wanted: role 1 is an entry in its partition, 2 a query, 3 both in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, asked = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                to = router.route(unit(_matrix(batch.column(1))), probes)
-                rows += np.bincount(to[:, 0], minlength=parts)
-                asked += np.bincount(to[batch.column(0).to_numpy(zero_copy_only=False)].ravel(), minlength=parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array(rows), pa.array(asked)], names=["part", "n", "asked"])
-
-    total = entries.select("asks", "vector").mapInArrow(run, "part int, n long, asked long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect()
-    n, asked = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
-    for r in total:
-        n[r["part"]], asked[r["part"]] = r["n"], r["asked"]
-    return n, asked
+            for a in range(0, batch.num_rows, 4096):
+                some = batch.slice(a, 4096)
+                asks = some.column(1).to_numpy(zero_copy_only=False)
+                row, part, p, home = router.route(unit(_matrix(some.column(2))), chance)
+                use = home | asks[row]
+                row, part, p, home = row[use], part[use], p[use], home[use]
+                take = pa.array(row)
+                out = {"part": pa.array(part, pa.int64()), "role": pa.array(np.where(home, np.where(asks[row], 3, 1), 2), pa.int8()), "p": pa.array(p), "rep": some.column(0).take(take)}
+                if vectors:
+                    out["vector"] = some.column(2).take(take)
+                yield pa.RecordBatch.from_pydict(out)
 
+    return entries.select("rep", "asks", "vector").mapInArrow(run, _ROUTED + (", vector array<float>" if vectors else ""))
 
-def _ranked_pairs(entries: DataFrame, router: Router, probes: int, k: int, least: float | None) -> DataFrame:
-    """(q, n, cosine): the k best entries for each asking entry in each of its partitions' blocks."""
-    n, asked = _load(entries, router, probes)
-    blocks, query_blocks = np.maximum(1, -(-n // BLOCK)), np.maximum(1, -(-asked // QUERY_BLOCK))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                rep, asks = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
-                to = router.route(unit(_matrix(part.column(2))), probes)
-                out: list[tuple[np.ndarray, ...]] = []
-                home = to[:, 0]
-                i, j = _spread(rep, blocks[home]), _spread(rep, query_blocks[home])
-                # One row serves as entry and as query where a partition is one group; elsewhere entries go to each query block and queries to each block.
-                one = (blocks[home] == 1) & (query_blocks[home] == 1)
-                rows = np.flatnonzero(one)
-                out.append((rows, home[rows], i[rows], j[rows], np.where(asks[rows], 3, 1)))
-                rows = np.flatnonzero(~one)
-                for step in range(int(query_blocks[home[rows]].max(initial=0))):
-                    some = rows[query_blocks[home[rows]] > step]
-                    out.append((some, home[some], i[some], np.full(len(some), step), np.full(len(some), 1)))
-                for p in range(to.shape[1]):
-                    rows = np.flatnonzero(asks & ~one) if p == 0 else np.flatnonzero(asks)
-                    at = to[rows, p]
-                    jq = _spread(rep[rows], query_blocks[at])
-                    for step in range(int(blocks[at].max(initial=0))):
-                        some = blocks[at] > step
-                        out.append((rows[some], at[some], np.full(some.sum(), step), jq[some], np.full(some.sum(), 2)))
-                row, at, bi, bj, role = (np.concatenate([o[c] for o in out]) for c in range(5))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bi, pa.int32()), pa.array(bj, pa.int32()), pa.array(role, pa.int8()), part.column(0).take(take), part.column(2).take(take)], names=["part", "i", "j", "role", "rep", "vector"])
+def _sizes(routed: DataFrame) -> DataFrame:
+    """Rows and queries of each partition."""
+    return materialize(routed.groupBy("part").agg(F.count_if(F.col("role").bitwiseAND(1) == 1).alias("n"), F.count_if(F.col("role").bitwiseAND(2) == 2).alias("asked")), "sizes")
+
+
+def _next_level(routed: DataFrame, entries: DataFrame, chance: float, levels_left: int, partition_rows: int, sample: int) -> DataFrame:
+    """Cut every partition again by a network of its own. Samples are thinned out where they lie; rows go to the network of their partition in groups of ROUTED."""
+    sizes = _sizes(routed)
+    small = broadcast_if_below(sizes.where("n > 0").select("part", "n", F.ceil((F.col("n") + F.col("asked")) / ROUTED).cast("int").alias("tasks")), 100_000)
+    vectors = entries.select("rep", "vector")
+    # Of each partition the rows with the smallest hashes, half as many again as are used at most, so that no group is larger than that.
+    h = F.xxhash64(F.lit(91), "rep")
+    thin = routed.where(F.col("role").bitwiseAND(1) == 1).join(small.select("part", "n"), "part").select("part", "n", "rep", h.alias("h"))
+    thin = thin.where(F.col("h").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31) * F.col("n") < 1.5 * sample + 64)
+
+    def learn(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["h"].to_numpy(), kind="stable")[:sample]
+        router = fit(unit(_matrix(table["vector"]))[order], parts_of_level(table["n"][0].as_py(), levels_left, partition_rows))
+        return pa.table({"part": table["part"].slice(0, 1), "router": pa.array([router.pack()], pa.binary())})
+
+    routers = materialize(thin.join(vectors, "rep").groupBy("part").applyInArrow(learn, "part long, router binary"), "routers")
+    # Each task has the network of its own partition only.
+    spread = routers.join(small.select("part", "tasks"), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "router")
+    rows = routed.join(small.select("part", "tasks"), "part").withColumn("task", F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int")).join(vectors, "rep")
+    width = sample // LEAST_SAMPLE + 1
+
+    def route(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"part": pa.array([], pa.int64()), "role": pa.array([], pa.int8()), "p": pa.array([], pa.float64()), "rep": pa.array([], pa.int64())})
+        router = Router.unpack(right["router"][0].as_py())
+        role, before, rep = left["role"].to_numpy(), left["p"].to_numpy(), left["rep"].to_numpy()
+        x = unit(_matrix(left["vector"]))
+        found = []
+        for a in range(0, len(x), 4096):
+            row, part, p, home = router.route(x[a : a + 4096], (chance / before[a : a + 4096])[:, None])
+            row += a
+            inside, asks = role[row] & 1 == 1, role[row] & 2 == 2
+            keep = home & inside | asks & (p * before[row] >= chance)
+            row, part, p, own = row[keep], part[keep], p[keep], (home & inside)[keep]
+            found.append((row, part, p * before[row], np.where(own, role[row], 2)))
+        row, part, p, kind = (np.concatenate([f[c] for f in found]) for c in range(4))
+        return pa.table({"part": pa.array(left["part"][0].as_py() * width + part, pa.int64()), "role": pa.array(kind, pa.int8()), "p": pa.array(p), "rep": pa.array(rep[row])})
+
+    out = rows.select("part", "task", "role", "p", "rep", "vector").groupBy("part", "task").cogroup(spread.groupBy("part", "task")).applyInArrow(route, _ROUTED)
+    return materialize(out, "routed")
+
+
+def _in_blocks(routed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Add ``i`` and ``j``, the blocks of entries and of queries. Entries of a partition that needs several go to every block of queries, and queries to every block of entries."""
+    large = sizes.where((F.col("n") > BLOCK) | (F.col("asked") > QUERY_BLOCK))
+    large = large.select("part", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int").alias("bs"), F.greatest(F.lit(1), F.ceil(F.col("asked") / QUERY_BLOCK)).cast("int").alias("qs"))
+    if not large.limit(1).count():
+        return routed.select("part", F.lit(0).alias("i"), F.lit(0).alias("j"), "role", "rep", "vector")
+    marked = routed.join(broadcast_if_below(large, 100_000), "part", "left")
+    one = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.cast("byte").alias("role"))
+    role, i, j = F.col("role"), F.pmod(F.xxhash64("rep"), F.col("bs")), F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("qs"))
+    none = F.array().cast("array<struct<i:int,j:int,role:tinyint>>")
+    as_entry = F.when(role.bitwiseAND(1) == 1, F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: one(i, q, F.lit(1)))).otherwise(none)
+    as_query = F.when(role.bitwiseAND(2) == 2, F.transform(F.sequence(F.lit(0), F.col("bs") - 1), lambda b: one(b, j, F.lit(2)))).otherwise(none)
+    to = F.when(F.col("bs").isNull(), F.array(one(F.lit(0), F.lit(0), role))).otherwise(F.concat(as_entry, as_query))
+    return marked.select("part", F.explode(to).alias("x"), "rep", "vector").select("part", "x.i", "x.j", "x.role", "rep", "vector")
+
+
+def _ranked_pairs(entries: DataFrame, count: int, k: int, chance: float, least: float | None, size: int, partition_rows: int, most: int) -> DataFrame:
+    """(q, n, cosine): the k best entries for each asking entry in each of its partitions' blocks, and those that tie with them."""
+    sample = bounded_sample(entries.select("rep", "vector"), "rep", count, most).select("vector").toArrow()
+    x = unit(_matrix(sample["vector"])) if sample.num_rows else np.empty((0, size), np.float32)
+    apart, levels = max(2, most // LEAST_SAMPLE), 1
+    while apart**levels * partition_rows < count:
+        levels += 1
+    router = fit(x, parts_of_level(count, levels, partition_rows))
+    if levels == 1:
+        sizes = _sizes(_first_level(entries, router, chance, False))
+        routed = _first_level(entries, router, chance, True)
+    else:
+        routed = materialize(_first_level(entries, router, chance, False), "routed")
+        for left in range(levels - 1, 0, -1):
+            routed = _next_level(routed, entries, chance, left, partition_rows, most)
+        sizes = _sizes(routed)
+        routed = routed.join(entries.select("rep", "vector"), "rep")
 
     def search(table: pa.Table) -> pa.Table:
         role, rep = table["role"].to_numpy(), table["rep"].to_numpy()
@@ -253,16 +328,13 @@ def _ranked_pairs(entries: DataFrame, router: Router, probes: int, k: int, least
                 crowded = np.bincount(r, minlength=len(q)) > k
                 if crowded.any():
                     keep = ~crowded[r]
-                    r, c = r[keep], c[keep]
                     some = np.flatnonzero(crowded)
-                    best = np.argpartition(-s[some], k - 1, axis=1)[:, :k]
-                    r, c = np.append(r, np.repeat(some, k)), np.append(c, best.ravel())
+                    y = s[some]
+                    r2, c2 = np.nonzero(y >= np.partition(y, y.shape[1] - k, axis=1)[:, [y.shape[1] - k]] - EDGE)
+                    r, c = np.append(r[keep], some[r2]), np.append(c[keep], c2)
             else:
                 m = min(k, len(index))
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                r, c = np.repeat(np.arange(len(q)), m), best.ravel()
-                keep = s[r, c] > -1.5
-                r, c = r[keep], c[keep]
+                r, c = np.nonzero(s >= np.maximum(np.partition(s, s.shape[1] - m, axis=1)[:, [s.shape[1] - m]] - EDGE, -1.5))
             found_q.append(q[r])
             found_n.append(index[c])
         q = np.concatenate(found_q) if found_q else np.empty(0, np.int64)
@@ -270,22 +342,24 @@ def _ranked_pairs(entries: DataFrame, router: Router, probes: int, k: int, least
         y, z = raw[q].astype(np.float64), raw[n].astype(np.float64)
         y, z = y / np.abs(y).max(1, keepdims=True, initial=1e-300), z / np.abs(z).max(1, keepdims=True, initial=1e-300)
         cosine = (y * z).sum(1) / np.sqrt((y * y).sum(1) * (z * z).sum(1))
-        return pa.table({"q": pa.array(rep[q], pa.int64()), "n": pa.array(rep[n], pa.int64()), "cosine": pa.array(cosine, pa.float64())})
+        return pa.table({"q": pa.array(rep[q], pa.int64()), "n": pa.array(rep[n], pa.int64()), "cosine": pa.array(np.round(cosine, 12), pa.float64())})
 
-    sent = entries.select("rep", "asks", "vector").mapInArrow(send, "part int, i int, j int, role byte, rep long, vector array<float>")
-    return sent.groupBy("part", "i", "j").applyInArrow(search, "q long, n long, cosine double")
+    return _in_blocks(routed, sizes).groupBy("part", "i", "j").applyInArrow(search, "q long, n long, cosine double")
 
 
-def nearest(vectors: DataFrame, k: int = 5, probes: int = 10, asks: Column | None = None, least: float | None = None, size: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, chance: float = 0.01, asks: Column | None = None, least: float | None = None, size: int = 64, partition_rows: int = PARTITION_ROWS, sample: int = SAMPLE) -> DataFrame:
     """(id, neighbour_id, cosine, rank): the k most similar other ids of each asking id.
 
     ``vectors`` has id and embedding; ``asks`` is a condition on id (all ids
     where None); ``least`` leaves out neighbours with a smaller cosine (ranks
-    are not changed by that). ``probes`` partitions are searched for a query.
+    are not changed by that). A query searches the partitions that hold its
+    neighbours with at least the probability ``chance``: a smaller one finds
+    more and costs more. ``sample`` vectors are what each network is fitted on.
 
     Embeddings that are null, of another length, with null, NaN or infinite
     components or all zero take no part, nor do null ids. Repeated rows count
-    once. Ties go by the smallest id that has the same vector, then by id. An
+    once. Ties (of cosines rounded to 12 digits) go by the smallest id that has
+    the same vector, then by id. An
     id with fewer than k others has as many as there are; an empty table gives
     an empty result. Other columns aren't read.
     """
@@ -294,10 +368,7 @@ def nearest(vectors: DataFrame, k: int = 5, probes: int = 10, asks: Column | Non
     entries = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("asks").alias("asks"), F.first("embedding").alias("vector"))
     entries = materialize(entries, "vectors")
     count = entries.count()
-    sample = bounded_sample(entries.select("rep", "vector"), "rep", count, SAMPLE).select("vector").toArrow()
-    router = fit(unit(_matrix(sample["vector"])) if sample.num_rows else np.empty((0, size), np.float32), count)
-
-    pairs = _ranked_pairs(entries, router, probes, k, least)
+    pairs = _ranked_pairs(entries, count, k, chance, least, size, partition_rows, sample)
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "n"))).where(F.col("r") <= k).drop("r")
 
     # From entries to ids: of an entry only its first k + 1 ids can be among anyone's k nearest.
@@ -319,15 +390,29 @@ def nearest(vectors: DataFrame, k: int = 5, probes: int = 10, asks: Column | Non
     return out.select("id", F.col("x.neighbour_id").alias("neighbour_id"), F.least(-F.col("x.s"), F.lit(1.0)).alias("cosine"), (F.col("at") + 1).alias("rank"))
 
 
+#: Neighbours of a cosine of 0.9 or more lie in few partitions; the 5 nearest, however far, in more.
+FOUND_CHANCE, KNN_CHANCE = 0.06, 0.01
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a cosine of at least 0.9 of which one is among the 5 most similar of the other."""
-    near = nearest(read_table(spark, sf_dir, "memories"), k=5, probes=4, least=0.9)
+    near = nearest(read_table(spark, sf_dir, "memories"), k=5, chance=FOUND_CHANCE, least=0.9)
     return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
 
 
 def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most similar memories of every memory whose id is divisible by 50."""
-    return nearest(read_table(spark, sf_dir, "memories"), k=5, probes=10, asks=F.col("id") % 50 == 0)
+    return nearest(read_table(spark, sf_dir, "memories"), k=5, chance=KNN_CHANCE, asks=F.col("id") % 50 == 0)
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how much p5_knn finds of an exact search for the same queries. Found is what is at least as similar as the fifth of the exact list, so that ties don't count as misses."""
+    memories = read_table(spark, sf_dir, "memories")
+    usable_rows = memories.where(F.col("id").isNotNull() & usable(F.col("embedding"), 64)).select("id", "embedding").dropDuplicates(["id"])
+    exact = knn_batch(usable_rows, usable_rows.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 6).where("id <> query_id")
+    exact = exact.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), False), 1, 5).alias("s")).select(F.col("query_id").alias("id"), F.size("s").alias("n"), F.array_min("s").alias("last"))
+    found = exact.join(p5_knn(spark, sf_dir), "id", "left").groupBy("id", "n").agg(F.count_if(F.col("cosine") >= F.col("last") - 1e-6).alias("hits"))
+    return found.agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("neighbours"), (F.sum(F.least("hits", "n")) / F.sum("n")).alias("recall"))
 
 
 SQL = {

@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_groups": neardup.p3_groups,
         "p5_found": knn.p5_found,
         "p5_knn": knn.p5_knn,
+        "p5_recall": knn.p5_recall,
         "p7_ids": tokens.p7_ids,
         "p8_mixture": mixture.p8_mixture,
         "p8_shares": mixture.p8_shares,

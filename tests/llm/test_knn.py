@@ -75,8 +75,17 @@ def test_small_tables(spark):
     assert lists(K.nearest(table(spark, [(1, [1.0] * 8), (2, [2.0] * 8)]), size=8)) == {1: [2], 2: [1]}
 
 
-def test_partitions_are_balanced_and_recall_is_high(spark, monkeypatch):
-    monkeypatch.setattr(K, "PARTITION_ROWS", 100)
+def test_levels_give_the_same(spark, monkeypatch):
+    """With no least probability all partitions are searched, so the result is exact however often they were cut."""
+    rows = rows_of(np.random.default_rng(6), 150)
+    want = brute(rows, 4, 8)
+    assert lists(K.nearest(table(spark, rows), k=4, size=8, chance=0.0, partition_rows=20, sample=96)) == want  # two levels
+    monkeypatch.setattr(K, "ROUTED", 30)
+    monkeypatch.setattr(K, "BLOCK", 8)
+    assert lists(K.nearest(table(spark, rows), k=4, size=8, chance=0.0, partition_rows=5, sample=72)) == want  # four levels
+
+
+def test_partitions_are_balanced_and_recall_is_high(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(60, 16))
     x = centres[rng.integers(0, 60, 2400)] + rng.normal(size=(2400, 16)) * 0.4
@@ -87,11 +96,12 @@ def test_partitions_are_balanced_and_recall_is_high(spark, monkeypatch):
     inside = (label[graph] == label[:, None]).mean()
     assert inside > (K.bisect(unit, 24)[graph] == K.bisect(unit, 24)[:, None]).mean()
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
-    got = lists(K.nearest(table(spark, rows), k=5, probes=5, size=16, asks=F.col("id") % 20 == 0))
     s = unit @ unit.T
     np.fill_diagonal(s, -2)
-    hit = sum(len({*np.argsort(-s[i])[:5].tolist()} & {*v}) for i, v in got.items())
-    assert len(got) == 120 and hit / 600 >= 0.9
+    for sample in (2400, 480):  # one level, two levels
+        got = lists(K.nearest(table(spark, rows), k=5, chance=0.02, size=16, asks=F.col("id") % 20 == 0, partition_rows=100, sample=sample))
+        hit = sum(len({*np.argsort(-s[i])[:5].tolist()} & {*v}) for i, v in got.items())
+        assert len(got) == 120 and hit / 600 >= 0.9
 
 
 def test_hot_copies(spark, monkeypatch):
