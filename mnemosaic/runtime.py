@@ -195,6 +195,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs_delete(df.sparkSession, path)
+
+
 def broadcast_if_below(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave the strategy to the optimizer."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
