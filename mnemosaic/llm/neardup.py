@@ -30,10 +30,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, read_table, skew_safe_join
+from ..runtime import broadcast_if_below, materialize, read_table, skew_safe_join
 from .codepoints import list_array, slices
 from .components import components
 from .repetition import mix, words_of
@@ -43,7 +43,9 @@ SAMPLE = 2000  # contents for the estimate of candidate counts
 SKETCH_BITS = 128
 SKETCH_CUT = 34  # bits that may differ; at a similarity of 0.7 each differs with 0.15, so this loses two pairs in 10 000
 PAIR_COST = 0.02  # what comparing two sketches that met costs, against shuffling and sorting a row
-ALL_PAIRS = 4096  # two classes of copies with more pairs than this are linked through their representatives
+ALL_PAIRS = 4096  # default: two classes of copies with more pairs than this are linked through their representatives
+HOT_KEY = 8192  # contents with one key that are compared in one task
+KEY_BLOCK = 4096  # of a key with more, the contents of one block
 SALT_ROWS = 20_000  # members of a class in one join task
 
 _rng = np.random.default_rng(20240607)
@@ -163,24 +165,56 @@ def class_table(contents: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
     return members, materialize(classes, "bags")
 
 
-def plan_partitions(classes: DataFrame, least: float, miss: float) -> list[Partition]:
-    """Thresholds for these contents. The sample has at most SAMPLE contents, chosen by a hash of their ids."""
+def plan_partitions(classes: DataFrame, least: float, miss: float) -> tuple[int, list[Partition]]:
+    """The number of contents, and thresholds for them. The sample has at most SAMPLE contents, chosen by a hash of their ids; of each only 64 symbols reach the driver."""
     n = classes.count()
-    sample = [r[0] for r in bounded_sample(classes.select("rep", "tokens"), "rep", n, SAMPLE).select("tokens").collect()]
-    if len(sample) < 2:
-        return [Partition(3, 0)]
-    counts = np.fromiter(map(len, sample), np.int64, len(sample))
-    s = symbols(np.array([x for row in sample for x in row], np.int64).view(np.uint64), counts, range(64))
-    agree = np.zeros((len(sample), len(sample)), np.int16)
-    for row in s:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = symbols(*_flat(batch.column(0)), range(64))
+                yield pa.RecordBatch.from_arrays([list_array(s.T.ravel().view(np.int64), np.full(batch.num_rows, 64), pa.int64())], names=["s"])
+
+    some = bounded_sample(classes.select("rep", "tokens"), "rep", n, SAMPLE).select("tokens").mapInArrow(run, "s array<long>").toArrow()["s"].to_numpy()
+    if len(some) < 2:
+        return n, [Partition(3, 0)]
+    agree = np.zeros((len(some), len(some)), np.int16)
+    for row in np.stack(some).T:
         agree += row[:, None] == row[None, :]
-    similarities = agree[np.triu_indices(len(sample), 1)] / 64
-    return allocate(n, similarities[similarities < least], least, miss)
+    similarities = agree[np.triu_indices(len(some), 1)] / 64
+    return n, allocate(n, similarities[similarities < least], least, miss)
+
+
+def _meet(probes: DataFrame, n: int, near: Column) -> DataFrame:
+    """(repa, repb), repa < repb, of the contents that share a key and are ``near``, once for each key.
+
+    A key with more than HOT_KEY contents is cut into blocks by a hash of the
+    content, and each pair of blocks meets in a join group of its own.
+    """
+    both = [[F.col(c).alias(c + s) for c in ("rep", "n", "s0", "s1")] for s in "ab"]
+
+    def join(p: DataFrame) -> DataFrame:
+        a, b = (p.select("key", *x) for x in both)
+        return a.join(b.hint("merge"), "key").where(near & (F.col("repa") < F.col("repb"))).select("repa", "repb")
+
+    if n <= HOT_KEY:  # no key can have more contents than there are
+        return join(probes)
+    counts = probes.groupBy("key").count().where(F.col("count") > HOT_KEY)
+    hot = materialize(counts.select("key", F.ceil(F.col("count") / KEY_BLOCK).cast("int").alias("blocks")), "hot")
+    if not hot.limit(1).count():
+        return join(probes)
+    few = broadcast_if_below(hot, 100_000)
+    marked = probes.join(few, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    a = marked.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *both[0])
+    b = marked.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *both[1])
+    met = a.join(b.hint("merge"), ["key", "i", "j"]).where(near & ((F.col("i") < F.col("j")) | (F.col("repa") < F.col("repb"))))
+    met = met.select(F.least("repa", "repb").alias("repa"), F.greatest("repa", "repb").alias("repb"))
+    return join(probes.join(few, "key", "left_anti")).unionByName(met)
 
 
 def similar_classes(classes: DataFrame, least: float, miss: float) -> DataFrame:
-    """Pairs a < b of class representatives whose similarity is at least ``least``."""
-    plan = plan_partitions(classes, least, miss)
+    """Pairs a < b of class representatives whose similarity is at least ``least``, and how many tokens they have in ``common``."""
+    total, plan = plan_partitions(classes, least, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,19 +227,17 @@ def similar_classes(classes: DataFrame, least: float, miss: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(0).take(take), part.column(1).take(take), *(pa.array(w.view(np.int64)[many]) for w in sketch)], names=["key", "rep", "n", "s0", "s1"])
 
     probes = classes.select("rep", "n", "tokens").mapInArrow(run, "key long, rep long, n int, s0 long, s1 long")
-    a, b = (probes.select("key", *(F.col(c).alias(c + s) for c in ("rep", "n", "s0", "s1"))) for s in "ab")
     ratio = round(least * 1000)
     near = (
-        (F.col("repa") < F.col("repb"))
-        & (F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))) + F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) <= SKETCH_CUT)
+        (F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))) + F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) <= SKETCH_CUT)
         & (F.col("na") * 1000 >= F.col("nb") * ratio)
         & (F.col("nb") * 1000 >= F.col("na") * ratio)
     )
-    met = a.join(b.hint("merge"), "key").where(near).groupBy("repa", "repb").agg(F.lit(1).alias("one")).select("repa", "repb")
+    met = _meet(probes, total, near).groupBy("repa", "repb").agg(F.lit(1).alias("one")).select("repa", "repb")
     bags = classes.select("rep", "tokens")
     both = met.join(bags.withColumnsRenamed({"rep": "repa", "tokens": "ta"}), "repa").join(bags.withColumnsRenamed({"rep": "repb", "tokens": "tb"}), "repb")
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(common * 1000 >= ratio * (F.size("ta") + F.size("tb") - common)).select("repa", "repb")
+    return both.where(common * 1000 >= ratio * (F.size("ta") + F.size("tb") - common)).select("repa", "repb", common.alias("common"))
 
 
 def _with_salt(df: DataFrame, rep: str, copies: str, spread: bool) -> DataFrame:
@@ -231,19 +263,21 @@ def near_duplicates(contents: DataFrame, least: float = 0.7, min_words: int = 20
     return members, classes, materialize(similar_classes(classes, least, miss), "links")
 
 
-def expand(members: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+def expand(members: DataFrame, links: DataFrame, classes: DataFrame, all_pairs: int | None = ALL_PAIRS) -> DataFrame:
     """Pairs of ids from pairs of classes, and those inside classes.
 
-    Copies are linked all with all where two classes have at most ALL_PAIRS
-    pairs; beyond that each member is linked with the other class's
-    representative only, so the result grows with the rows, not with their
-    square.
+    Copies are linked all with all where two classes have at most ``all_pairs``
+    pairs, or everywhere if that is None; beyond it each member is linked with
+    the other class's representative only, so that a group of exact copies adds
+    rows in proportion to its size, not to its square. No link between two
+    different texts is lost by that. A class is spread over as many tasks as it
+    needs either way.
     """
     sizes = classes.select("rep", "copies")
     pairs = links.join(sizes.withColumnsRenamed({"rep": "repa", "copies": "ca"}), "repa").join(sizes.withColumnsRenamed({"rep": "repb", "copies": "cb"}), "repb")
     inside = sizes.where("copies > 1").select(F.col("rep").alias("repa"), F.col("rep").alias("repb"), F.col("copies").alias("ca"), F.col("copies").alias("cb"))
     pairs = pairs.select("repa", "repb", "ca", "cb").unionByName(inside)
-    small = F.col("ca") * F.col("cb") <= ALL_PAIRS
+    small = F.lit(True) if all_pairs is None else F.col("ca") * F.col("cb") <= all_pairs
 
     def side(df: DataFrame, rep: str, copies: str, to: str) -> DataFrame:
         many = members.select(F.col("rep").alias(rep), F.col("copies").alias("__c"), "id")
@@ -257,11 +291,29 @@ def expand(members: DataFrame, links: DataFrame, classes: DataFrame) -> DataFram
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of memories with at least 20 words each of which at least 0.7 are shared."""
+    """Pairs of memories with at least 20 words each of which at least 0.7 are shared.
+
+    All pairs are given, but for groups of exact copies of which two have more
+    than ALL_PAIRS (4 096) pairs of ids: these are linked through their smallest
+    ids (``expand`` with None gives all). p3_members and p3_links hold the whole
+    result in rows that grow with the classes, whatever the copies.
+    """
     members, classes, links = near_duplicates(read_table(spark, sf_dir, "memories"))
     return expand(members, links, classes)
 
 
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of exact copies of each memory with at least 20 words, named by its smallest id, and how many it has."""
+    members, classes = class_table(read_table(spark, sf_dir, "memories"), 20)
+    return skew_safe_join(members, classes.select("hash", "rep", "copies"), "hash", "inner").select("id", "rep", "copies")
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of classes of which at least 0.7 of the words are shared, by their representatives; with p3_members this is all of p3_found."""
+    _, classes = class_table(read_table(spark, sf_dir, "memories"), 20)
+    return similar_classes(classes, 0.7, 0.02).select(F.col("repa").alias("rep_a"), F.col("repb").alias("rep_b"), "common")
+
+
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of each memory that has a near-duplicate: the connected pairs, named by their smallest id; and how many memories it is linked with."""
     members, classes, links = near_duplicates(read_table(spark, sf_dir, "memories"))
@@ -274,12 +326,25 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew_safe_join(members.select("id", "rep"), info.where("n_links > 0"), "rep", "inner").select("id", "group_id", "n_links")
 
 
-SQL = {
-    "p3_found": r"""
-WITH t AS (SELECT DISTINCT id, TRY(decode(content)) AS text FROM memories WHERE id IS NOT NULL),
+_CLASSES = """
+WITH t AS (SELECT min(id) AS id, text FROM (SELECT id, TRY(decode(content)) AS text FROM memories WHERE id IS NOT NULL) WHERE text IS NOT NULL GROUP BY text),
+"""
+_BAGS = r"""
 w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM t WHERE text IS NOT NULL),
 k AS (SELECT id, word, row_number() OVER (PARTITION BY id, word) AS nth, count(*) OVER (PARTITION BY id) AS n FROM w),
-e AS (SELECT * FROM k WHERE n >= 20)
-SELECT a.id AS id_a, b.id AS id_b FROM e a JOIN e b ON a.word = b.word AND a.nth = b.nth AND a.id < b.id AND a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7
-GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 10 >= 7 * (a.n + b.n - count(*))""",
+e AS (SELECT * FROM k WHERE n >= 20)"""
+_PAIRS = """
+FROM e a JOIN e b ON a.word = b.word AND a.nth = b.nth AND a.id < b.id AND a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7
+GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 10 >= 7 * (a.n + b.n - count(*))"""
+
+SQL = {
+    "p3_found": f"WITH t AS (SELECT DISTINCT id, TRY(decode(content)) AS text FROM memories WHERE id IS NOT NULL), {_BAGS} SELECT a.id AS id_a, b.id AS id_b {_PAIRS}",
+    "p3_links": f"{_CLASSES} {_BAGS} SELECT a.id AS rep_a, b.id AS rep_b, count(*)::INT AS common {_PAIRS}",
+    "p3_members": r"""
+WITH t AS (SELECT DISTINCT id, TRY(decode(content)) AS text FROM memories WHERE id IS NOT NULL)
+SELECT id, min(id) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS copies FROM t WHERE text IS NOT NULL AND len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) >= 20""",
+    "p3_groups": f"""WITH RECURSIVE t AS (SELECT DISTINCT id, TRY(decode(content)) AS text FROM memories WHERE id IS NOT NULL), {_BAGS},
+p AS (SELECT a.id AS x, b.id AS y {_PAIRS}), l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT DISTINCT x AS id, x AS label FROM l UNION SELECT l.y, r.label FROM r JOIN l ON l.x = r.id WHERE r.label < l.y)
+SELECT id, min(label) AS group_id, any_value(n) AS n_links FROM r JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) ON x = id GROUP BY id""",
 }

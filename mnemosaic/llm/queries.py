@@ -15,8 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_agreement": ranking.p1_agreement,
         "p2_found": splitting.p2_found,
         "p2_pieces": splitting.p2_pieces,
+        "p2_check": splitting.p2_check,
         "p3_found": neardup.p3_found,
         "p3_groups": neardup.p3_groups,
+        "p3_members": neardup.p3_members,
+        "p3_links": neardup.p3_links,
         "p5_found": knn.p5_found,
         "p5_knn": knn.p5_knn,
         "p5_recall": knn.p5_recall,
@@ -30,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**splitting.SQL, **neardup.SQL, **knn.SQL, **repetition.SQL}
+    return {**ranking.SQL, **splitting.SQL, **neardup.SQL, **knn.SQL, **repetition.SQL}

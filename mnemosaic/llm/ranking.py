@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_below, materialize, read_table, skew_safe_join
+from ..runtime import broadcast_if_below, materialize, read_table, release, skew_safe_join
 
 LOCAL_ITEMS = 200_000
 BLOCK_ITEMS = 20_000
+PACK_ITEMS = 50_000  # items that one call ranks, of small queries together
 DAMPING = 0.85
 STEPS = 40
 DIGITS = 9  # visits are compared rounded, as sums depend on their order; as multiples of the query's mean 1 / n, so that a large query keeps its order
@@ -89,8 +90,8 @@ def visits(query: np.ndarray, scores: list[np.ndarray], damping: float = DAMPING
     return mass
 
 
-def _local(items: DataFrame, names: list[str], damping: float, steps: int) -> DataFrame:
-    """Queries are packed into groups by hash, so one call ranks many of them."""
+def _local(items: DataFrame, n: int, names: list[str], damping: float, steps: int) -> DataFrame:
+    """Queries are packed into groups by hash, so one call ranks many of them; there are as many groups as ``n`` items need."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.drop_columns(["pack"]).sort_by([("query_id", "ascending"), ("memory_id", "ascending")])
@@ -101,9 +102,9 @@ def _local(items: DataFrame, names: list[str], damping: float, steps: int) -> Da
         order = np.lexsort((table["memory_id"].to_numpy(), -np.round(mass * size, DIGITS), query))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - begin + 1
-        return table.select(["query_id", "memory_id"]).append_column("rank", pa.array(rank)).append_column("visits", pa.array(mass))
+        return table.select(["query_id", "memory_id"]).append_column("rank", pa.array(rank)).append_column("visits", pa.array(np.round(mass * size, DIGITS)))
 
-    packs = max(64, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+    packs = max(64, -(-n // PACK_ITEMS))
     packed = items.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs)))
     return packed.groupBy("pack").applyInArrow(run, "query_id long, memory_id long, rank long, visits double")
 
@@ -128,24 +129,30 @@ def _distributed(items: DataFrame, names: list[str], damping: float, steps: int,
     ranked = _places(values, ["query_id", "s"], [F.desc("v")], "n", "reach").select("query_id", "s", "v", "reach", F.floor(F.col("reach") / block_items).alias("block"))
     places = materialize(long.join(ranked, ["query_id", "s", "v"]).select("query_id", "memory_id", "s", "reach", "block"), "places")
     mass = items.select("query_id", "memory_id").join(sizes, "query_id").select("query_id", "memory_id", (F.lit(1.0) / F.col("size")).alias("mass"))
+    before = None
     for _ in range(steps):
         share = places.join(mass, ["query_id", "memory_id"]).groupBy("query_id", "s", "block", "reach").agg(F.sum(F.col("mass") / F.col("reach")).alias("share"))
         share = materialize(share, "share")
+        if before is not None:
+            release(before)
+        before = share
         blocks = share.groupBy("query_id", "s", "block").agg(F.sum("share").alias("b"))
         carry = blocks.withColumn("carry", F.sum("b").over(Window.partitionBy("query_id", "s").orderBy(F.desc("block"))) - F.col("b")).drop("b")
         w = Window.partitionBy("query_id", "s", "block").orderBy(F.desc("reach"))
         gain = share.withColumn("gain", F.sum("share").over(w)).join(carry, ["query_id", "s", "block"]).select("query_id", "s", "reach", (F.col("gain") + F.col("carry")).alias("gain"))
         new = places.join(gain, ["query_id", "s", "reach"]).groupBy("query_id", "memory_id").agg(F.sum("gain").alias("gain"))
         mass = new.join(sizes, "query_id").select("query_id", "memory_id", ((1 - damping) / F.col("size") + damping / len(names) * F.col("gain")).alias("mass"))
-    final = mass.join(sizes, "query_id").select("query_id", "memory_id", F.col("mass").alias("visits"), F.round(F.col("mass") * F.col("size"), DIGITS).alias("r"), F.lit(1).alias("one"))
-    return _places(final, ["query_id"], [F.desc("r"), F.col("memory_id")], "one", "rank").select("query_id", "memory_id", "rank", "visits")
+    final = mass.join(sizes, "query_id").select("query_id", "memory_id", F.round(F.col("mass") * F.col("size"), DIGITS).alias("visits"), F.lit(1).alias("one"))
+    return _places(final, ["query_id"], [F.desc("visits"), F.col("memory_id")], "one", "rank").select("query_id", "memory_id", "rank", "visits")
 
 
 def fuse(items: DataFrame, scores: list[str], damping: float = DAMPING, steps: int = STEPS, local_items: int = LOCAL_ITEMS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(query_id, memory_id, rank, visits) from (query_id, memory_id, scores...), a row for each item of a query.
 
-    Equal visits (as multiples of the query's mean, rounded to DIGITS digits)
-    are ordered by memory_id.
+    Visits are multiples of the query's mean (the reciprocal of its size),
+    rounded to DIGITS digits, so a query of any size keeps its order; equal
+    ones are ordered by memory_id. Queries with more than ``local_items`` items are
+    iterated as tables; the result is the same.
 
     In each score the highest value is best; null and NaN count as worst, tied
     with each other. Rows with a null query or memory are left out; repeated
@@ -156,12 +163,13 @@ def fuse(items: DataFrame, scores: list[str], damping: float = DAMPING, steps: i
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     once = items.where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()).groupBy(*keys).agg(*(F.max(number(c)).alias(c) for c in scores))
     once = materialize(once, "items")
+    n = once.count()
     large = once.groupBy("query_id").count().where(F.col("count") > local_items).select("query_id")
     if not large.limit(1).count():
-        return _local(once, scores, damping, steps)
+        return _local(once, n, scores, damping, steps)
     large = broadcast_if_below(materialize(large, "large"), 100_000)
     out = _distributed(once.join(large, "query_id", "left_semi"), scores, damping, steps, block_items)
-    return _local(once.join(large, "query_id", "left_anti"), scores, damping, steps).unionByName(out)
+    return _local(once.join(large, "query_id", "left_anti"), n, scores, damping, steps).unionByName(out)
 
 
 def epoch_seconds(created_at: Column) -> Column:
@@ -195,4 +203,24 @@ def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     gain = F.pow(F.lit(2.0), F.col("grade")) - 1
     place = judged.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).withColumn("best", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "rank")))
     sums = place.groupBy("query_id").agg(F.sum(gain / F.log2(F.col("i") + 1)).alias("dcg"), F.sum(gain / F.log2(F.col("best") + 1)).alias("ideal"), F.count(F.lit(1)).alias("n_judged"))
-    return sums.select("query_id", "n_judged", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).alias("ndcg"))
+    return sums.select("query_id", "n_judged", F.round(F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")), 9).alias("ndcg"))
+
+
+_WALK = f"""
+WITH RECURSIVE about AS (SELECT id AS memory_id, CASE WHEN count(*) FILTER (NOT isnan(importance)) > 0 THEN least(1, greatest(0, max(importance) FILTER (NOT isnan(importance))::DOUBLE)) END AS importance, max(created_at) FILTER (created_at > 0) AS raw FROM memories WHERE id IS NOT NULL GROUP BY id),
+given AS (SELECT query_id, memory_id, max(score) FILTER (NOT isnan(score)) AS score FROM hits WHERE query_id IS NOT NULL AND memory_id IS NOT NULL GROUP BY ALL),
+long AS (SELECT query_id AS q, memory_id AS i, unnest([1, 2, 3]) AS k, coalesce(unnest([score, importance, CASE WHEN raw < 1e11 THEN raw::DOUBLE WHEN raw < 1e14 THEN raw / 1e3 WHEN raw < 1e17 THEN raw / 1e6 ELSE raw / 1e9 END]), '-infinity'::DOUBLE) AS v FROM given LEFT JOIN about USING (memory_id)),
+reach AS (SELECT *, count(*) OVER (PARTITION BY q, k ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM long),
+jump AS (SELECT a.q, a.i, b.i AS j, sum(1 / a.n::DOUBLE) / 3 AS w FROM reach a JOIN reach b ON a.q = b.q AND a.k = b.k AND b.v >= a.v GROUP BY ALL),
+size AS (SELECT query_id AS q, count(*)::DOUBLE AS n FROM given GROUP BY 1),
+walk AS (SELECT 0 AS step, query_id AS q, memory_id AS i, 1 / n AS mass FROM given JOIN size ON q = query_id
+  UNION ALL SELECT step + 1, s.q, j, (1 - {DAMPING}) / s.n + {DAMPING} * sum(mass * w) FROM walk JOIN jump USING (q, i) JOIN size s USING (q) WHERE step < {STEPS} GROUP BY step, s.q, s.n, j),
+ranked AS (SELECT q AS query_id, i AS memory_id, row_number() OVER (PARTITION BY q ORDER BY round(mass * n, {DIGITS}) DESC, i) AS rank, round(mass * n, {DIGITS}) AS visits FROM walk JOIN size USING (q) WHERE step = {STEPS})"""
+
+SQL = {
+    "p1_ranking": f"{_WALK} SELECT query_id, memory_id, rank, visits FROM ranked",
+    "p1_agreement": f"""{_WALK},
+grades AS (SELECT query_id, memory_id, max(grade) AS grade FROM judgements WHERE grade IS NOT NULL GROUP BY ALL),
+places AS (SELECT query_id, pow(2, grade) - 1 AS gain, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rank) AS best FROM ranked JOIN grades USING (query_id, memory_id))
+SELECT query_id, count(*) AS n_judged, round(CASE WHEN sum(gain / log2(best + 1)) > 0 THEN sum(gain / log2(i + 1)) / sum(gain / log2(best + 1)) END, 9) AS ndcg FROM places GROUP BY query_id""",
+}

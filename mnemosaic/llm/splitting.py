@@ -1,11 +1,13 @@
 """Problem 2: cut oversized texts at natural boundaries, with overlap.
 
 Every codepoint boundary of a text is joined to its farthest legal successor:
-the end of the next piece, if a piece ends here and the next one begins
-``overlap`` bytes earlier. The table of successors is then squared again and
+the end of the next piece, if a piece ends here and the next one begins at
+least ``overlap`` bytes earlier, at a natural boundary too where one is near. The table of successors is then squared again and
 again; after k squarings the cuts reached from the beginning of a text cover
 2**k pieces. So the cuts of all texts of a batch, however long each is, come
-out of a few array operations, not of a walk along each text.
+out of a few array operations, not of a walk along each text. Very long texts
+are taken in windows; a window's cuts count as far as nothing beyond it could
+change them, and the next window begins with the piece after those.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import broadcast_if_below, read_table
-from .codepoints import codepoints, slices, utf8_widths
+from .codepoints import PART, codepoints, slices, utf8_widths
 
 #: A codepoint has up to 4 bytes, so a smaller limit cannot be kept; a piece has to bring 4 new bytes.
 LEAST = 4
 #: A boundary of a better kind is taken only if the piece then has this part of the limit at least.
 FILL = 0.5
+#: The next piece may begin earlier than the overlap asks for, for the beginning of a word, by this part of what it brings at most.
+EARLIER = 0.25
 ANY, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 
 # What ends a sentence or clause, by script.
@@ -64,12 +68,30 @@ def boundary_levels(cps: np.ndarray) -> np.ndarray:
     line = np.where(newline, np.arange(n), 0)
     lines_since = np.cumsum(newline)
     level[newline & (lines_since - lines_since[filled] >= 2) & (line > 0)] = PARAGRAPH
-    level[(before == 13) & (cps == 10) | _joins_left(cps)] = -1
+    # Flags are pairs of regional indicators: no cut before the second of each.
+    flag = (cps >= 0x1F1E6) & (cps <= 0x1F1FF)
+    outside = np.where(~flag, np.arange(n), -1)
+    np.maximum.accumulate(outside, out=outside)
+    level[flag & ((np.arange(n) - outside) % 2 == 0)] = -1
+    level[(before == 13) & (cps == 10) | _joins_left(cps) | (before == 0x200D)] = -1
     return level
 
 
-def cut_texts(texts: list[str], limits: np.ndarray, overlaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first byte, end byte, number) of each piece of each text; bytes count from the beginning of the text."""
+def _starts(at: np.ndarray, level: np.ndarray, begin: np.ndarray, limits: np.ndarray, overlaps: np.ndarray) -> np.ndarray:
+    """Where the piece after a cut at each boundary begins: at or before the overlap, at a word if one begins near, else between what belongs together, else between codepoints."""
+    node = np.arange(len(begin))
+    latest = np.maximum(np.searchsorted(at, at[:-1] - overlaps, "right") - 1, begin)
+    most = limits - LEAST  # a piece has to bring something new
+    start = np.maximum(np.searchsorted(at, at[:-1] - np.minimum(most, at[:-1] - at[latest])), begin)
+    for least, room in ((0, most), (WORD, np.minimum(most, overlaps + (EARLIER * (limits - overlaps)).astype(np.int64)))):
+        back = np.maximum(np.maximum.accumulate(np.where(level >= least, node, 0))[latest], begin)
+        near = at[:-1] - at[back] <= room
+        start[near] = back[near]
+    return np.where(overlaps > 0, start, node)
+
+
+def cut_texts(texts: list[str], limits: np.ndarray, overlaps: np.ndarray, after: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first byte, end byte, number) of each piece of each text; bytes count from the beginning of the text. The first piece ends beyond codepoint ``after``."""
     limits = np.maximum(limits.astype(np.int64), LEAST)
     overlaps = np.clip(overlaps.astype(np.int64), 0, limits - LEAST)
     cps = codepoints("\0".join(texts) + "\0")
@@ -84,7 +106,9 @@ def cut_texts(texts: list[str], limits: np.ndarray, overlaps: np.ndarray) -> tup
     level[ends] = level[begins] = PARAGRAPH
 
     node = np.arange(n)
-    start = np.maximum(np.searchsorted(at, at[:-1] - overlaps[of]), begins[of])
+    start = _starts(at, level, begins[of], limits[of], overlaps[of])
+    floor = node.copy()
+    floor[begins] += after
     last = np.minimum(np.searchsorted(at, at[start] + limits[of], "right") - 1, ends[of])
     successor = np.zeros(n, np.int64)
     open_ = last < ends[of]
@@ -96,7 +120,7 @@ def cut_texts(texts: list[str], limits: np.ndarray, overlaps: np.ndarray) -> tup
                 break
             back = np.maximum.accumulate(np.where(level >= kind, node, 0))[last[rest]]
             least = at[start[rest]] + (FILL * limits[of[rest]] if full else 0)
-            good = (back > rest) & (at[back] >= least)
+            good = (back > floor[rest]) & (at[back] >= least)
             successor[rest[good]] = back[good]
             rest = rest[~good]
     successor[rest] = last[rest]
@@ -120,14 +144,38 @@ def cut_texts(texts: list[str], limits: np.ndarray, overlaps: np.ndarray) -> tup
     return row, at[start[previous]] - at[begins[row]], at[piece] - at[begins[row]], number
 
 
+def cut_long(text: str, limit: int, overlap: int, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end byte) of the pieces of one text, as ``cut_texts`` has them, with windows of about ``part`` codepoints in memory."""
+    first, end = [], []
+    limit = max(limit, LEAST)
+    part = max(part, 4 * limit)
+    at = base = after = 0  # where the window begins, in codepoints and bytes
+    while True:
+        window = text[at : at + part]
+        _, a, b, _ = cut_texts([window], np.array([limit]), np.array([overlap]), after)
+        if at + part >= len(text):
+            return np.concatenate([*first, a + base]), np.concatenate([*end, b + base])
+        raw = window.encode()
+        sure = int((a + limit + 8 < len(raw)).sum())  # these pieces, and where the next one begins, don't depend on what follows the window
+        first.append(a[:sure] + base)
+        end.append(b[:sure] + base)
+        to = int(a[sure])
+        moved = len(raw[:to].decode())
+        after = len(raw[to : b[sure - 1]].decode())
+        at, base = at + moved, base + to
+
+
 def split_oversized(df: DataFrame, limits: DataFrame, key: list[str], text: str = "text", strategy: str = "strategy") -> DataFrame:
     """Pieces of every text with more UTF-8 bytes than the ``max_bytes`` of its strategy.
 
     Columns: ``key``, piece_index (from 0), start_byte, end_byte and piece. A
     piece has at most ``max_bytes`` bytes; it shares the last ``overlap_bytes``
-    of the piece before, or up to 3 less where that would cut a codepoint.
-    Without the shared parts the pieces give back the text. Limits count as 4 at least, overlaps as 4 less than
-    the limit at most.
+    of the piece before, and up to EARLIER of the rest of the limit more where
+    that lets it begin with a word or cuts no cluster of codepoints. Without the
+    shared parts the pieces give back the text. Limits count as 4 at least,
+    overlaps as 4 less than the limit at most (and up to 3 less where a whole
+    codepoint has no room then). A piece before that is shorter than the overlap
+    is shared wholly, with what comes before it.
 
     Texts within the limit, null texts and those whose strategy is null or has
     no limit give no rows. Repeated rows (same key, strategy and text) count
@@ -147,7 +195,11 @@ def split_oversized(df: DataFrame, limits: DataFrame, key: list[str], text: str
             m, o, column = batch.columns[-3:]
             for a, b in slices(column, 1 << 20):
                 texts = column.slice(a, b - a).to_pylist()
-                row, first, end, number = cut_texts(texts, m.slice(a, b - a).to_numpy(), o.slice(a, b - a).to_numpy())
+                if len(texts) == 1 and len(texts[0]) > PART:
+                    first, end = cut_long(texts[0], m[a].as_py(), o[a].as_py())
+                    row, number = np.zeros(len(end), np.int64), np.arange(len(end))
+                else:
+                    row, first, end, number = cut_texts(texts, m.slice(a, b - a).to_numpy(), o.slice(a, b - a).to_numpy())
                 raw = [t.encode() for t in texts]
                 pieces = [raw[r][x:y].decode() for r, x, y in zip(row.tolist(), first.tolist(), end.tolist())]
                 keys = [batch.column(k).slice(a, b - a).take(pa.array(row)) for k in range(len(key))]
@@ -166,6 +218,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_index = 1").select("item_id", "chunk_index").distinct()
 
 
+def p2_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each oversized chunk: whether all pieces keep to the limit, share at least the overlap (or all there is before), are numbered without gaps, and without the shared parts give back the text."""
+    chunks, limits = read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "chunk_limits")
+    key = ["item_id", "chunk_index"]
+    few = limits.groupBy("strategy").agg(F.min(F.struct("max_bytes", F.coalesce("overlap_bytes", F.lit(0)).alias("o"))).alias("l"))
+    texts = chunks.select(*key, "strategy", "text").distinct().join(broadcast_if_below(few, 10_000), "strategy")
+    pieces = split_oversized(chunks, limits, key).withColumn("size", F.octet_length("piece"))
+    listed = pieces.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("piece_index", "start_byte", "end_byte", "size", "piece"))).alias("p"))  # the pieces of one text
+    before = F.concat(F.array(F.lit(0).cast("long")), F.col("p.end_byte"))
+    new = F.transform("p", lambda x, i: F.substring(F.encode(x["piece"], "UTF-8"), (F.get(before, i) - x["start_byte"] + 1).cast("int"), (x["end_byte"] - F.get(before, i)).cast("int")))
+    shared = F.forall(F.transform("p", lambda x, i: (F.get(before, i) - x["start_byte"] >= F.least(F.col("l.o"), F.col("l.max_bytes") - LEAST)) | (x["start_byte"] == 0)), lambda ok: ok)
+    fits = F.forall("p", lambda x: (x["size"] <= F.col("l.max_bytes")) & (x["size"] == x["end_byte"] - x["start_byte"]))
+    counted = F.forall(F.transform("p", lambda x, i: x["piece_index"] == i), lambda ok: ok)
+    return texts.join(listed, key).select(*key, fits.alias("fits"), shared.alias("shares"), counted.alias("counted"), (F.aggregate(new, F.lit(b""), lambda s, x: F.concat(s, x)) == F.encode("text", "UTF-8")).alias("whole"))
+
+
 SQL = {
+    "p2_check": "SELECT DISTINCT item_id, chunk_index, true AS fits, true AS shares, true AS counted, true AS whole FROM chunks JOIN chunk_limits USING (strategy) WHERE strlen(text) > max_bytes",
     "p2_found": "SELECT DISTINCT item_id, chunk_index FROM chunks JOIN chunk_limits USING (strategy) WHERE strlen(text) > max_bytes",
 }

@@ -17,10 +17,10 @@ def similarity(a, b):
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 
 
-def found(spark, rows, **options):
+def found(spark, rows, all_pairs=n.ALL_PAIRS, **options):
     df = spark.createDataFrame([(i, None if c is None else bytearray(c), "h", 1) for i, c in rows], CONTENT)
     members, classes, links = n.near_duplicates(df, **options)
-    return {(r["id_a"], r["id_b"]) for r in n.expand(members, links, classes).collect()}
+    return {(r["id_a"], r["id_b"]) for r in n.expand(members, links, classes, all_pairs).collect()}
 
 
 def corpus(rng, size):
@@ -51,12 +51,21 @@ def test_large_classes_are_linked_through_representatives(spark, monkeypatch):
     b = a.replace("a0 ", "b ")
     rows = [(i, (a if i < 6 else b).encode()) for i in range(10)]
     assert len(found(spark, rows)) == 45
-    monkeypatch.setattr(n, "ALL_PAIRS", 10)
     monkeypatch.setattr(n, "SALT_ROWS", 2)
-    star = found(spark, rows)
+    assert len(found(spark, rows, None)) == 45
+    star = found(spark, rows, 10)
     assert star == {(0, i) for i in range(1, 6)} | {(6, i) for i in range(7, 10)} | {(i, 6) for i in range(6)} | {(0, i) for i in range(6, 10)}
 
 
+def test_a_family_under_one_key_is_compared_in_blocks(spark, monkeypatch):
+    """300 variants of one long text share most of their keys; every pair is found, in tasks that hold blocks only."""
+    monkeypatch.setattr(n, "HOT_KEY", 20)
+    monkeypatch.setattr(n, "KEY_BLOCK", 16)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*base, f"v{k}"]).encode()) for k in range(300)]
+    assert len(found(spark, rows)) == 300 * 299 // 2
+
+
 def test_no_rows_and_one_row(spark):
     assert found(spark, []) == set() and found(spark, [(1, b"x " * 30)]) == set()
 

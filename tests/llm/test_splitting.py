@@ -16,7 +16,14 @@ def walk(text, limit, overlap):
     levels[0] = levels[n] = s.PARAGRAPH
     pieces, end = [], 0
     while end < n:
-        start = min(i for i in range(n + 1) if at[i] >= at[end] - overlap)
+        start = end
+        if overlap and end:
+            latest = max(i for i in range(n + 1) if at[i] <= max(0, at[end] - overlap))
+            start = min(i for i in range(n + 1) if at[i] >= at[end] - min(limit - s.LEAST, at[end] - at[latest]))
+            for kind, room in ((0, limit - s.LEAST), (s.WORD, min(limit - s.LEAST, overlap + int(s.EARLIER * (limit - overlap))))):
+                back = max(i for i in range(latest + 1) if levels[i] >= kind or i == 0)
+                if at[end] - at[back] <= room:
+                    start = back
         last = max(i for i in range(n + 1) if at[i] <= at[start] + limit)
         new = last
         if last < n:
@@ -41,7 +48,7 @@ def cut(texts, limit, overlap):
     return out
 
 
-texts = st.lists(st.text(alphabet="ab éソ́.,!\n\r 。", max_size=80), min_size=1, max_size=4)
+texts = st.lists(st.text(alphabet="ab éソ́.,!\n\r 。\u200d\U0001f1e6", max_size=80), min_size=1, max_size=4)
 
 
 @settings(max_examples=300, deadline=None)
@@ -56,7 +63,7 @@ def test_pieces_are_small_overlap_and_give_back_the_text(some, limit, overlap):
     for text, pieces in zip(some, cut(some, limit, overlap)):
         back, end = b"", 0
         for a, b, piece in pieces:
-            assert 0 < b - a <= limit and end - overlap <= a <= end < b
+            assert 0 < b - a <= limit and a <= max(0, end - min(overlap, limit - s.LEAST) + (3 if overlap + 3 > limit - s.LEAST else 0)) and a <= end < b
             back += text.encode()[end:b]
             end = b
         assert back == text.encode()
@@ -74,6 +81,23 @@ def test_long_text_without_boundaries():
     assert len(pieces) == 1112 - 1 and all(b - a <= 100 for a, b, _ in pieces)
 
 
+def test_pieces_begin_with_words_and_between_clusters():
+    text = "generalisation internationalism " * 20
+    [pieces] = cut([text], 200, 30)
+    assert all(p[0] in "gi" and text.encode()[a - 1 : a] in (b" ", b"") for a, _, p in pieces)
+    family, flag = "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f1eb\U0001f1f7"
+    for cluster in (family, flag):
+        [pieces] = cut([cluster * 40], 100, 20)
+        assert len(pieces) > 3 and all(p.startswith(cluster) and p.endswith(cluster) for _, _, p in pieces)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab éソ́.,!\n\r 。\u200d", min_size=60, max_size=400), st.integers(4, 20), st.integers(0, 12))
+def test_windows_of_a_long_text_give_the_same(text, limit, overlap):
+    first, end = s.cut_long(text, limit, overlap, 90)
+    assert list(zip(first.tolist(), end.tolist())) == [(a, b) for a, b, _ in cut([text], limit, overlap)[0]]
+
+
 LIMITS = "strategy string, max_bytes int, overlap_bytes int"
 
 
