@@ -207,8 +207,8 @@ def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WALK = f"""
-WITH RECURSIVE about AS (SELECT id AS memory_id, CASE WHEN count(*) FILTER (NOT isnan(importance)) > 0 THEN least(1, greatest(0, max(importance) FILTER (NOT isnan(importance))::DOUBLE)) END AS importance, max(created_at) FILTER (created_at > 0) AS raw FROM memories WHERE id IS NOT NULL GROUP BY id),
-given AS (SELECT query_id, memory_id, max(score) FILTER (NOT isnan(score)) AS score FROM hits WHERE query_id IS NOT NULL AND memory_id IS NOT NULL GROUP BY ALL),
+WITH RECURSIVE about AS (SELECT id AS memory_id, CASE WHEN count(*) FILTER (importance::VARCHAR <> 'nan') > 0 THEN least(1, greatest(0, max(importance) FILTER (importance::VARCHAR <> 'nan')::DOUBLE)) END AS importance, max(created_at) FILTER (created_at > 0) AS raw FROM memories WHERE id IS NOT NULL GROUP BY id),
+given AS (SELECT query_id, memory_id, max(score) FILTER (score::VARCHAR <> 'nan') AS score FROM hits WHERE query_id IS NOT NULL AND memory_id IS NOT NULL GROUP BY ALL),
 long AS (SELECT query_id AS q, memory_id AS i, unnest([1, 2, 3]) AS k, coalesce(unnest([score, importance, CASE WHEN raw < 1e11 THEN raw::DOUBLE WHEN raw < 1e14 THEN raw / 1e3 WHEN raw < 1e17 THEN raw / 1e6 ELSE raw / 1e9 END]), '-infinity'::DOUBLE) AS v FROM given LEFT JOIN about USING (memory_id)),
 reach AS (SELECT *, count(*) OVER (PARTITION BY q, k ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM long),
 jump AS (SELECT a.q, a.i, b.i AS j, sum(1 / a.n::DOUBLE) / 3 AS w FROM reach a JOIN reach b ON a.q = b.q AND a.k = b.k AND b.v >= a.v GROUP BY ALL),
