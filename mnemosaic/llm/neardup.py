@@ -17,7 +17,7 @@ similarity of 0.7: it would need partitions of two symbols, which nearly all
 pairs share. So the pigeonhole's budget is one of probability.) The estimate takes the
 agreement of symbols among a bounded sample; everything else covers all rows.
 
-Pairs that meet in a partition are compared by a sketch of 128 bits and by size,
+Pairs that meet in a partition are compared by a sketch of 256 bits and by size,
 and the survivors exactly, by their tokens. Exact copies of a content are one
 class throughout and probed once.
 """
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..runtime import broadcast_if_below, materialize, read_table, skew_safe_join
 from .codepoints import list_array, slices
 from .components import components
@@ -40,8 +41,9 @@ from .repetition import mix, words_of
 from .sampling import bounded_sample
 
 SAMPLE = 2000  # contents for the estimate of candidate counts
-SKETCH_BITS = 128
-SKETCH_CUT = 34  # bits that may differ; at a similarity of 0.7 each differs with 0.15, so this loses two pairs in 10 000
+SKETCH_BITS = 256
+SKETCH_CUT = 59  # bits that may differ; at a similarity of 0.7 each differs with 0.15, so this loses two pairs in 10 000
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 PAIR_COST = 0.02  # what comparing two sketches that met costs, against shuffling and sorting a row
 ALL_PAIRS = 4096  # default: two classes of copies with more pairs than this are linked through their representatives
 HOT_KEY = 8192  # contents with one key that are compared in one task
@@ -145,10 +147,10 @@ def partition_keys(tokens: np.ndarray, counts: np.ndarray, plan: list[Partition]
 def class_table(contents: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(members, classes): id and hash of each content, once; a row for each distinct eligible content, with its tokens and the number of ids that have it."""
     text = contents.select("id", "content").where(F.col("id").isNotNull() & F.is_valid_utf8(F.col("content").cast("string")))
-    members = text.select("id", F.md5("content").alias("hash")).dropDuplicates(["id", "hash"])
+    members = text.select("id", F.unhex(F.md5("content")).alias("hash")).dropDuplicates(["id", "hash"])
     # Counted without the contents, which so are shuffled once only.
     copies = members.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"))
-    whole = text.groupBy(F.md5("content").alias("hash")).agg(F.min("id").alias("rep"), F.first("content").alias("content")).join(copies, "hash")
+    whole = text.groupBy(F.unhex(F.md5("content")).alias("hash")).agg(F.min("id").alias("rep"), F.first("content").alias("content")).join(copies, "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +163,7 @@ def class_table(contents: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
                 head = [batch.column(c).take(keep) for c in ("rep", "hash", "copies")]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(counts[long], pa.int32()), list_array(values, counts[long], pa.int64())], names=["rep", "hash", "copies", "n", "tokens"])
 
-    classes = whole.select("rep", "hash", "copies", "content").mapInArrow(run, "rep long, hash string, copies long, n int, tokens array<long>")
+    classes = whole.select("rep", "hash", "copies", "content").mapInArrow(run, "rep long, hash binary, copies long, n int, tokens array<long>")
     return members, materialize(classes, "bags")
 
 
@@ -191,7 +193,7 @@ def _meet(probes: DataFrame, n: int, near: Column) -> DataFrame:
     A key with more than HOT_KEY contents is cut into blocks by a hash of the
     content, and each pair of blocks meets in a join group of its own.
     """
-    both = [[F.col(c).alias(c + s) for c in ("rep", "n", "s0", "s1")] for s in "ab"]
+    both = [[F.col(c).alias(c + s) for c in ("rep", "n", *SKETCH)] for s in "ab"]
 
     def join(p: DataFrame) -> DataFrame:
         a, b = (p.select("key", *x) for x in both)
@@ -224,12 +226,12 @@ def similar_classes(classes: DataFrame, least: float, miss: float) -> DataFrame:
                 sketch, keys = partition_keys(tokens, counts, plan)
                 many = np.tile(np.arange(part.num_rows), len(keys))
                 take = pa.array(many)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(0).take(take), part.column(1).take(take), *(pa.array(w.view(np.int64)[many]) for w in sketch)], names=["key", "rep", "n", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(0).take(take), part.column(1).take(take), *(pa.array(w.view(np.int64)[many]) for w in sketch)], names=["key", "rep", "n", *SKETCH])
 
-    probes = classes.select("rep", "n", "tokens").mapInArrow(run, "key long, rep long, n int, s0 long, s1 long")
+    probes = classes.select("rep", "n", "tokens").mapInArrow(run, "key long, rep long, n int, " + ", ".join(f"{c} long" for c in SKETCH))
     ratio = round(least * 1000)
     near = (
-        (F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))) + F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) <= SKETCH_CUT)
+        (sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0] + "a").bitwiseXOR(F.col(SKETCH[0] + "b")))) <= SKETCH_CUT)
         & (F.col("na") * 1000 >= F.col("nb") * ratio)
         & (F.col("nb") * 1000 >= F.col("na") * ratio)
     )
@@ -246,6 +248,12 @@ def _with_salt(df: DataFrame, rep: str, copies: str, spread: bool) -> DataFrame:
     return df.withColumn("salt", F.pmod(F.xxhash64("id"), tasks).cast("int") if spread else F.explode(F.sequence(F.lit(0), tasks - 1)))
 
 
+def members_of(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, rep, copies) of the members of ``class_table``; classes with many copies are known by their count."""
+    hot = classes.where(F.col("copies") > runtime.HOT_ROWS).select("hash")
+    return skew_safe_join(members, classes.select("hash", "rep", "copies"), "hash", "inner", hot=hot).select("id", "rep", "copies")
+
+
 def near_duplicates(contents: DataFrame, least: float = 0.7, min_words: int = 20, miss: float = 0.02) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links) of the near-duplicates among ``contents`` (id, content).
 
@@ -258,9 +266,7 @@ def near_duplicates(contents: DataFrame, least: float = 0.7, min_words: int = 20
     results. Other columns aren't read.
     """
     members, classes = class_table(contents, min_words)
-    known = classes.select("hash", "rep", "copies")
-    members = skew_safe_join(members, known, "hash", "inner").select("id", "rep", "copies")
-    return members, classes, materialize(similar_classes(classes, least, miss), "links")
+    return members_of(members, classes), classes, materialize(similar_classes(classes, least, miss), "links")
 
 
 def expand(members: DataFrame, links: DataFrame, classes: DataFrame, all_pairs: int | None = ALL_PAIRS) -> DataFrame:
@@ -280,8 +286,10 @@ def expand(members: DataFrame, links: DataFrame, classes: DataFrame, all_pairs:
     small = F.lit(True) if all_pairs is None else F.col("ca") * F.col("cb") <= all_pairs
 
     def side(df: DataFrame, rep: str, copies: str, to: str) -> DataFrame:
-        many = members.select(F.col("rep").alias(rep), F.col("copies").alias("__c"), "id")
-        return _with_salt(df, rep, copies, False).join(_with_salt(many, rep, "__c", True).select(rep, "salt", F.col("id").alias(to)), [rep, "salt"]).drop("salt")
+        # A content without copies is its own representative, so only copies have to be looked up.
+        many = members.where("copies > 1").select(F.col("rep").alias(rep), F.col("copies").alias("__c"), "id")
+        found = _with_salt(df.where(F.col(copies) > 1), rep, copies, False).join(_with_salt(many, rep, "__c", True).select(rep, "salt", F.col("id").alias(to)), [rep, "salt"]).drop("salt")
+        return df.where(F.col(copies) == 1).withColumn(to, F.col(rep)).unionByName(found)
 
     full = side(side(pairs.where(small), "repa", "ca", "x"), "repb", "cb", "y").select("x", "y")
     left = side(pairs.where(~small), "repa", "ca", "x").select("x", F.col("repb").alias("y"))
@@ -305,7 +313,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of exact copies of each memory with at least 20 words, named by its smallest id, and how many it has."""
     members, classes = class_table(read_table(spark, sf_dir, "memories"), 20)
-    return skew_safe_join(members, classes.select("hash", "rep", "copies"), "hash", "inner").select("id", "rep", "copies")
+    return members_of(members, classes)
 
 
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:

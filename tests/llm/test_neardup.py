@@ -90,7 +90,7 @@ def test_threshold_one_probes_all_subsets():
     plan = [n.Partition(4, 1), n.Partition(3, 0)]
     sketch, keys = n.partition_keys(tokens, counts, plan)
     assert keys.shape == (5, 3) and (keys[:, 0] == keys[:, 1]).all() and not (keys[:, 0] == keys[:, 2]).any()
-    assert sketch.shape == (2, 3) and n.Partition(4, 1).meets(0.5) == pytest.approx(5 / 16)
+    assert sketch.shape == (4, 3) and n.Partition(4, 1).meets(0.5) == pytest.approx(5 / 16)
 
 
 def test_bags():
