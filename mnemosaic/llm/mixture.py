@@ -90,7 +90,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total_tokens: int | None =
     max_repeats. Each row of ``docs`` is a record of its own. Null or empty
     texts have no size and are left out, as are documents with a null source
     or one without weight. A weight without documents is reported with a share
-    of 0; null or negative shares and repeats count as 0. The size of each
+    of 0; null or negative shares and repeats count as 0; the shares of several
+    spellings of a source add up, and the largest max_repeats holds. The size of each
     source is within half a document of its budget. Empty tables give an empty
     mixture.
     """
@@ -98,7 +99,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total_tokens: int | None =
     if len(few) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} weights")
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(r["source"], r["target_share"], r["max_repeats"]) for r in few if r["source"] is not None], "source string, target_share double, max_repeats int").select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"])
+    wanted = spark.createDataFrame([(r["source"], r["target_share"], r["max_repeats"]) for r in few if r["source"] is not None], "source string, target_share double, max_repeats int").select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     known = docs.select("doc_id", source_key(F.col("source")).alias("source"), "text").join(F.broadcast(wanted.select("source")), "source", "left_semi")
     sized = tokens.encode(known.select("doc_id", "source", "text"), keep=["doc_id", "source"], tokenizer=tokenizer, ids=None, count="n_tokens")
     sized = materialize(sized.where("n_tokens > 0").withColumn("key", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
@@ -136,3 +137,21 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
     return _mixed(spark, sf_dir)[1]
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each weight: whether its source is within its largest document of its budget, no document is used too often, and the budget is what the shares ask for."""
+    mixture, shares = _mixed(spark, sf_dir)
+    largest = mixture.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    there = (F.col("available_tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
+    s = shares.join(largest, "source", "left")
+    whole = s.where(there).agg(F.sum("budget_tokens").alias("all_tokens"), F.sum("target_share").alias("all_shares"))
+    s = s.crossJoin(F.broadcast(whole))
+    near = F.abs(F.col("mixed_tokens") - F.col("budget_tokens")) <= F.coalesce("largest", F.lit(0))
+    asked = F.abs(F.col("budget_tokens") - F.when(there, F.col("all_tokens") * F.col("target_share") / F.col("all_shares")).otherwise(0)) <= 1
+    return s.select("source", F.round("target_share", 9).alias("target_share"), near.alias("near"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"), asked.alias("asked"))
+
+
+SQL = {
+    "p8_check": r"SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s\-]+', '_', 'g') AS source, round(sum(target_share), 9) AS target_share, true AS near, true AS capped, true AS asked FROM source_weights WHERE source IS NOT NULL GROUP BY 1",
+}

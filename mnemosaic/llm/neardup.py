@@ -46,6 +46,7 @@ SKETCH_CUT = 59  # bits that may differ; at a similarity of 0.7 each differs wit
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 PAIR_COST = 0.02  # what comparing two sketches that met costs, against shuffling and sorting a row
 ALL_PAIRS = 4096  # default: two classes of copies with more pairs than this are linked through their representatives
+MISS = 0.01  # the probability with which a pair at just the least similarity may be missed; for one at 0.8 it is below 0.0001
 HOT_KEY = 8192  # contents with one key that are compared in one task
 KEY_BLOCK = 4096  # of a key with more, the contents of one block
 SALT_ROWS = 20_000  # members of a class in one join task
@@ -254,7 +255,7 @@ def members_of(members: DataFrame, classes: DataFrame) -> DataFrame:
     return skew_safe_join(members, classes.select("hash", "rep", "copies"), "hash", "inner", hot=hot).select("id", "rep", "copies")
 
 
-def near_duplicates(contents: DataFrame, least: float = 0.7, min_words: int = 20, miss: float = 0.02) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_duplicates(contents: DataFrame, least: float = 0.7, min_words: int = 20, miss: float = MISS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links) of the near-duplicates among ``contents`` (id, content).
 
     members: id and rep of each document with at least ``min_words`` words;
@@ -319,7 +320,7 @@ def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of classes of which at least 0.7 of the words are shared, by their representatives; with p3_members this is all of p3_found."""
     _, classes = class_table(read_table(spark, sf_dir, "memories"), 20)
-    return similar_classes(classes, 0.7, 0.02).select(F.col("repa").alias("rep_a"), F.col("repb").alias("rep_b"), "common")
+    return similar_classes(classes, 0.7, MISS).select(F.col("repa").alias("rep_a"), F.col("repb").alias("rep_b"), "common")
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_ids": tokens.p7_ids,
         "p8_mixture": mixture.p8_mixture,
         "p8_shares": mixture.p8_shares,
+        "p8_check": mixture.p8_check,
         "p9_found": repetition.p9_found,
         "p9_repetition": repetition.p9_repetition,
         "p9_lines": repetition.p9_lines,
+        "p9_cleaned": repetition.p9_cleaned,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**ranking.SQL, **splitting.SQL, **neardup.SQL, **knn.SQL, **repetition.SQL}
+    return {**ranking.SQL, **splitting.SQL, **neardup.SQL, **knn.SQL, **mixture.SQL, **repetition.SQL}

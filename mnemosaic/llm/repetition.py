@@ -9,6 +9,9 @@ Two measures, as one cannot stand in for the other:
 * ``line_frequency``: the method named for the problem. Lines are normalised
   and hashed, the documents of each host that hold a line are counted, lines
   above the limit are removed, and documents that lose too much are rejected.
+
+``p9_cleaned`` takes them together: the lines go first, then what is left is
+measured.
 """
 
 from __future__ import annotations
@@ -133,36 +136,60 @@ def repeated_words(df: DataFrame, text: str = "text", keep: list[str] | None = N
     return source.mapInArrow(run, schema)
 
 
-def line_frequency(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "host", max_docs: int = 5, min_kept: float = 0.5) -> DataFrame:
+def _held_lines(raw: DataFrame, max_docs: int) -> DataFrame:
+    """(doc, key, chars, places, common) of the distinct lines of each document; a line is ``common`` if more than ``max_docs`` documents of its host hold it.
+
+    Lines of a document are pre-aggregated before any shuffle; a line that most
+    documents share is counted by partial sums, and joined back without being
+    gathered in one task.
+    """
+    lines = raw.select("doc", "h", F.posexplode(F.split("t", "\r?\n")).alias("place", "line"))
+    lines = lines.withColumn("line", F.lower(F.trim(F.regexp_replace(F.regexp_replace("line", r"[\s\u00a0\u3000]+", " "), r"\d", "0")))).where(F.length("line") > 0)
+    held = lines.groupBy("doc", F.xxhash64("h", "line").alias("key")).agg(F.sum(F.length("line")).alias("chars"), F.collect_list("place").alias("places"))
+    held = materialize(held, "lines")
+    common = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("key", F.lit(True).alias("common"))
+    return skew_safe_join(held, common, "key")
+
+
+def line_frequency(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "host", max_docs: int = 5, min_kept: float = 0.5, cleaned: bool = False) -> DataFrame:
     """Per document: characters in lines, those in lines held by more than ``max_docs`` documents of the same host, and whether the rest is too little.
 
+    With ``cleaned`` also ``text``: what is left without the common lines and
+    without blank ones, in order; NULL for rejected documents.
+
     A line is normalised by lower case, single blanks and zeros for digits;
     blank lines don't count. Documents without lines (null, empty or blank
-    text) have 0 characters and aren't rejected; a null host is one host of its
-    own. Repeated rows of a document count as one document, their characters
-    add up.
-
-    The lines of a document are pre-aggregated before any shuffle; a line that
-    most documents share is counted by partial sums, and joined back without
-    being gathered in one task.
+    text) have 0 characters, aren't rejected and have an empty text; a null host
+    is one host of its own. Repeated rows of a document count as one document,
+    their characters add up, and its text is that of one of them.
     """
     raw = df.select(F.col(doc_id).alias("doc"), F.xxhash64(F.coalesce(F.col(host), F.lit("\0"))).alias("h"), F.col(text).alias("t"))
-    lines = raw.select("doc", "h", F.explode(F.split("t", "\r?\n")).alias("line"))
-    lines = lines.withColumn("line", F.lower(F.trim(F.regexp_replace(F.regexp_replace("line", r"[\s 　]+", " "), r"\d", "0")))).where(F.length("line") > 0)
-    held = lines.groupBy("doc", F.xxhash64("h", "line").alias("key")).agg(F.sum(F.length("line")).alias("chars"))
-    held = materialize(held, "lines")
-    common = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("key", F.lit(True).alias("common"))
-    marked = skew_safe_join(held, common, "key")
-    per_doc = marked.groupBy("doc").agg(F.sum("chars").alias("n_chars"), F.sum(F.when(F.col("common"), F.col("chars")).otherwise(0)).alias("removed_chars"))
-    out = raw.select("doc").distinct().join(per_doc, "doc", "left")
+    marked = _held_lines(raw, max_docs)
+    sums = [F.sum("chars").alias("n_chars"), F.sum(F.when(F.col("common"), F.col("chars")).otherwise(0)).alias("removed_chars")]
+    if cleaned:
+        sums.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("common").isNull(), F.col("places")))))).alias("kept"))
+    per_doc = marked.groupBy("doc").agg(*sums)
+    docs = raw.groupBy("doc").agg(F.first("t").alias("t")) if cleaned else raw.select("doc").distinct()
+    out = docs.join(per_doc, "doc", "left")
     n, gone = F.coalesce("n_chars", F.lit(0)), F.coalesce("removed_chars", F.lit(0))
-    return out.select(F.col("doc").alias(doc_id), n.alias("line_chars"), gone.alias("removed_chars"), (F.coalesce(n - gone, F.lit(0)) < n * min_kept).alias("rejected"))
+    rejected = F.coalesce(n - gone, F.lit(0)) < n * min_kept
+    columns = [F.col("doc").alias(doc_id), n.alias("line_chars"), gone.alias("removed_chars"), rejected.alias("rejected")]
+    if cleaned:
+        # The lines are cut out by their places, so the text itself is shuffled once, and no line is looked for.
+        split = F.split("t", "\r?\n")
+        left = F.get(F.transform(F.array(split), lambda rows: F.array_join(F.transform(F.coalesce("kept", F.array().cast("array<int>")), lambda i: F.get(rows, i)), "\n")), F.lit(0))
+        columns.append(F.when(~rejected, F.coalesce(left, F.lit(""))).alias("text"))
+    return out.select(*columns)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _with_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text", F.lower(F.substring_index("mailbox", "@", -1)).alias("host"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least 40 words of which at least 0.3 are repeated."""
     share = repeated_words(_documents(spark, sf_dir), keep=["doc_id"])
@@ -176,26 +203,34 @@ def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines common among the documents of a host (the domain of the mailbox), and the documents that consist of them."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.lower(F.substring_index("mailbox", "@", -1)).alias("host"))
-    return line_frequency(docs)
+    return line_frequency(_with_host(spark, sf_dir))
+
+
+def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both measures on top of each other: the documents without the lines that are common on their host, and how much of what is left they repeat themselves."""
+    cleaned = line_frequency(_with_host(spark, sf_dir), cleaned=True)
+    return repeated_words(cleaned, keep=["doc_id", "line_chars", "removed_chars", "rejected"])
 
 
-_WORDS = """
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents),
+_MEASURE = """
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM texts),
 g AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, gram ORDER BY pos) > 1 AS again
       FROM (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS pos, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS gram FROM w WHERE len(ws) >= 8)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 8)) AS p FROM g WHERE again) GROUP BY doc_id),
 s AS (SELECT w.doc_id, coalesce(len(ws), 0) AS n_words, coalesce(r.n, 0) AS n_repeated FROM w LEFT JOIN r USING (doc_id))
 """
+_WORDS = f"WITH texts AS (SELECT doc_id, text FROM documents), {_MEASURE}"
+_LINES = r"""
+l AS (SELECT doc_id, coalesce(lower(split_part(mailbox, '@', -1)), chr(1)) AS host, unnest(string_split_regex(text, '\r?\n')) AS raw, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS place FROM documents),
+m AS (SELECT *, lower(trim(regexp_replace(regexp_replace(raw, '[\s\x0b\x{a0}\x{3000}]+', ' ', 'g'), '\d', '0', 'g'))) AS line FROM l),
+c AS (SELECT host, line FROM m WHERE length(line) > 0 GROUP BY ALL HAVING count(DISTINCT doc_id) > 5),
+d AS (SELECT doc_id, sum(length(m.line)) AS line_chars, sum(CASE WHEN c.line IS NULL THEN 0 ELSE length(m.line) END) AS removed, string_agg(raw, chr(10) ORDER BY place) FILTER (c.line IS NULL) AS kept FROM m LEFT JOIN c ON c.host = m.host AND c.line = m.line WHERE length(m.line) > 0 GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(line_chars, 0)::BIGINT AS line_chars, coalesce(removed, 0)::BIGINT AS removed_chars, coalesce(line_chars - removed < line_chars * 0.5, false) AS rejected, coalesce(kept, '') AS kept FROM documents LEFT JOIN d USING (doc_id))"""
 
 SQL = {
     "p9_found": _WORDS + "SELECT doc_id FROM s WHERE n_words >= 40 AND n_repeated * 10 >= n_words * 3",
     "p9_repetition": _WORDS + "SELECT doc_id, n_words::BIGINT AS n_words, n_repeated::BIGINT AS n_repeated, n_repeated / greatest(n_words, 1)::DOUBLE AS repeated_share FROM s",
-    "p9_lines": r"""
-WITH l AS (SELECT doc_id, coalesce(lower(split_part(mailbox, '@', -1)), chr(1)) AS host, unnest(string_split_regex(text, '\r?\n')) AS line FROM documents),
-n AS (SELECT doc_id, host, line, sum(length(line)) AS chars FROM (SELECT doc_id, host, lower(trim(regexp_replace(regexp_replace(line, '[\s\x0b\x{a0}\x{3000}]+', ' ', 'g'), '\d', '0', 'g'))) AS line FROM l) WHERE length(line) > 0 GROUP BY ALL),
-c AS (SELECT host, line FROM n GROUP BY ALL HAVING count(*) > 5),
-d AS (SELECT doc_id, sum(chars) AS line_chars, sum(CASE WHEN c.line IS NULL THEN 0 ELSE chars END) AS removed FROM n LEFT JOIN c USING (host, line) GROUP BY doc_id)
-SELECT doc_id, coalesce(line_chars, 0)::BIGINT AS line_chars, coalesce(removed, 0)::BIGINT AS removed_chars, coalesce(line_chars - removed < line_chars * 0.5, false) AS rejected
-FROM documents LEFT JOIN d USING (doc_id)""",
+    "p9_lines": f"WITH {_LINES} SELECT doc_id, line_chars, removed_chars, rejected FROM e",
+    "p9_cleaned": f"""WITH {_LINES}, texts AS (SELECT doc_id, CASE WHEN NOT rejected THEN kept END AS text FROM e), {_MEASURE}
+SELECT doc_id, line_chars, removed_chars, rejected, n_words::BIGINT AS n_words, n_repeated::BIGINT AS n_repeated, n_repeated / greatest(n_words, 1)::DOUBLE AS repeated_share FROM e JOIN s USING (doc_id)""",
 }
