@@ -510,6 +510,15 @@ def state_upsert(spark, d):
     return mutations.upsert(base, again)[0].select("id", "collection", "created_at", F.col("embedding").isNotNull().alias("indexed"))
 
 
+@query(_mem("SELECT id FROM mem WHERE id % 5 = 0 AND id % 2 = 0"))
+def state_upsert_refused(spark, d):
+    """A fifth of the memories comes again without embedding, every other with other content: these are refused, with or without an old embedding."""
+    base = memories(spark, d).withColumn("importance", F.col("importance").cast("float"))
+    other = F.when(F.col("id") % 2 == 0, F.concat("content", F.lit(b"!"))).otherwise(F.col("content"))
+    again = base.where("id % 5 = 0").withColumn("content", other).withColumn("embedding", F.lit(None).cast("array<float>"))
+    return mutations.upsert(base, again)[1]
+
+
 @query(_edg("SELECT src, dst, relation FROM edg WHERE src NOT IN (SELECT memory_id FROM tombstones WHERE memory_id IS NOT NULL) AND dst NOT IN (SELECT memory_id FROM tombstones WHERE memory_id IS NOT NULL)"))
 def state_delete_cascade(spark, d):
     gone = read_table(spark, d, "tombstones").where("memory_id IS NOT NULL").select(F.col("memory_id").alias("id"))

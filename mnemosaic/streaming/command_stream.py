@@ -17,10 +17,14 @@ def read_commands(spark: SparkSession, path: str, files_per_batch: int = 16) ->
 
 
 def into_store(commands: DataFrame, store: MemoryStore, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Commit each batch to the store, in the order of ``seq``; the store's capacity holds after every batch."""
+    """Commit each batch to the store, in the order of ``seq``; the store's capacity holds after every batch.
 
-    def commit(batch: DataFrame, _: int) -> None:
-        store.apply_commands(batch)
+    Batches count in the order of their arrival. One that is sent again after a
+    failure is known by ``checkpoint`` and its number, and changes nothing.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
+        store.apply_commands(batch, (checkpoint, number))
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return commands.writeStream.option("checkpointLocation", checkpoint).foreachBatch(commit).trigger(**trigger).start()
