@@ -122,27 +122,38 @@ def semantic(text: str, overlap: int) -> list[str]:
     return _prefixed(out, overlap)
 
 
+def _kind(raw: str) -> str:
+    """What a line of Markdown is: header, list, fence or text."""
+    line = raw.strip(_STRIP)
+    if _HEADER.match(line):
+        return "header"
+    return "list" if _LIST.match(raw) else "fence" if line.startswith("```") else "text"
+
+
+def _section(head: str, body: list[tuple[str, str]], opening: str) -> Iterator[str]:
+    """The pieces of one section, each begun with ``opening`` and ended with the line that takes it beyond the section size."""
+    texts = {"fence": lambda line, inside: "", "text": lambda line, inside: " " + line, "list": lambda line, inside: ("\n" if head and inside else "") + line}
+    piece = opening
+    if _bytes(piece) > SECTION_BYTES:
+        yield piece
+    for kind, line in body:
+        piece += texts[kind](line, bool(piece))
+        if _bytes(piece) > SECTION_BYTES:
+            yield piece
+            piece = opening
+    if piece:
+        yield piece
+
+
 def markdown(text: str, overlap: int, preserve_headers: bool = True) -> list[str]:
-    """Sections below headers; fenced code becomes a mark."""
+    """Sections below headers; fenced code becomes a mark. Lines are classified first, then numbered by section, then packed."""
+    lines = [(_kind(raw), raw.strip(_STRIP)) for raw in _FENCE.sub(lambda _: CODE, text.strip(_STRIP)).split("\n") if raw.strip(_STRIP)]
+    heads = [i for i, (kind, _) in enumerate(lines) if kind == "header"]
+    bounds = sorted({0, *heads, len(lines)})
     out: list[str] = []
-    section = header = ""
-    for raw in _FENCE.sub(lambda _: CODE, text.strip(_STRIP)).split("\n"):
-        line = raw.strip(_STRIP)
-        if not line:
-            continue
-        if _HEADER.match(line):
-            if section:
-                out.append(section.strip(_STRIP))
-            header, section = line, line if preserve_headers else ""
-        elif _LIST.match(raw):
-            section += ("\n" if header and section else "") + line
-        elif not line.startswith("```"):
-            section += " " + line
-        if _bytes(section) > SECTION_BYTES:
-            out.append(section.strip(_STRIP))
-            section = header if preserve_headers else ""
-    if section:
-        out.append(section.strip(_STRIP))
+    for a, b in zip(bounds, bounds[1:]):
+        head = lines[a][1] if a < b and lines[a][0] == "header" else ""
+        out += (p.strip(_STRIP) for p in _section(head, lines[a + bool(head) : b], head if preserve_headers else ""))
     return _prefixed(out, overlap)
 
 

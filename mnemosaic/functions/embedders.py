@@ -35,7 +35,7 @@ class HashEmbedder(Embedder):
 
     def __init__(self, dimension: int = 64):
         if dimension <= 0:
-            raise ConfigError(f"dimension must be > 0, got {dimension}")
+            raise ConfigError(f"vectors need at least one component, not {dimension}")
         self._dimension = dimension
 
     @property
@@ -50,12 +50,22 @@ class HashEmbedder(Embedder):
         return (words / norm if norm else words).tolist()
 
 
+#: Components that the models of public services give (fixed values).
+KNOWN_DIMENSIONS = {
+    "text-embedding-ada-002": 1536,
+    "text-embedding-3-small": 1536,
+    "text-embedding-3-large": 3072,
+    "models/text-embedding-004": 768,
+    "models/embedding-001": 768,
+}
+
+
 class ServiceEmbedder(Embedder):
-    """An embedder behind a function from texts to vectors, such as a remote service; the dimension is asked for once if it isn't given."""
+    """An embedder behind a function from texts to vectors, such as a remote service; the dimension is that given, else that known of the model, else asked for once."""
 
-    def __init__(self, call, dimension: int | None = None):
+    def __init__(self, call, dimension: int | None = None, model: str | None = None):
         self._call = call
-        self._dimension = dimension or len(call(["dimension"])[0])
+        self._dimension = dimension or KNOWN_DIMENSIONS.get(model) or len(call(["dimension"])[0])
 
     @property
     def dimension(self) -> int:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import check_query, cosine, similarity_score, unit_interval
+from ..functions.vector import check_query, similarity_score, unit_interval
 from ..plans.options import IntentPolicy, Options, Path, Plan, plan, with_intent
 from ..runtime import materialize
 from . import graph
-from .vector_search import top
+from .vector_search import METRICS, top
 
 #: (memories, query, k) -> (id, score): a source of candidates.
 Provider = Callable[[DataFrame, Sequence[float], int], DataFrame]
@@ -34,6 +35,12 @@ class Search:
         """Rows after each stage; each count is a job."""
         return {name: df.count() for name, df in self.stages.items()}
 
+    def metrics(self) -> dict:
+        """What the search asked for and gave, and the seconds of the job that ran it."""
+        began = time.monotonic()
+        n = self.hits.count()
+        return {"path": self.plan.path.value, "parallel": self.plan.parallel, "candidates": self.plan.candidates, "hits": n, "results": n, "elapsed_seconds": time.monotonic() - began}
+
 
 def metadata_matches(wanted: dict[str, str] | None) -> Column:
     """Every wanted key is there with just that value."""
@@ -60,14 +67,15 @@ def _ranked(candidates: DataFrame, p: Plan) -> DataFrame:
     return df.orderBy(*order).limit(o.top_k)
 
 
-def search(memories: DataFrame, edges: DataFrame | None, q: Sequence[float], options: Options = Options(), indexed: int = 0, policy: IntentPolicy | None = None, embed=None, provider: Provider | None = None) -> Search:
+def search(memories: DataFrame, edges: DataFrame | None, q: Sequence[float], options: Options = Options(), indexed: int = 0, policy: IntentPolicy | None = None, embed=None, provider: Provider | None = None, metric: str = "cosine") -> Search:
     """(id, final_score, similarity_score, importance_score, recency_score), the best ``top_k``.
 
     The filters on time and metadata come after the choice of candidates, so
     fewer hits may come out than rows match. Expansion replaces the candidates
     by what they reach (themselves included); the time range is not asked of
     what was reached. Rows without embedding never come out. A ``provider``
-    chooses the candidates in place of an exact scan.
+    chooses the candidates in place of an exact scan. ``metric`` is what they are
+    scored by.
     """
     q = check_query(q)
     p = plan(with_intent(options, q, policy, embed), indexed)
@@ -75,7 +83,7 @@ def search(memories: DataFrame, edges: DataFrame | None, q: Sequence[float], opt
     base = memories.where("embedding IS NOT NULL")
     if o.collection is not None:
         base = base.where(F.col("collection") == o.collection)
-    similar = lambda df: df.withColumn("cos", cosine(F.col("embedding"), q))
+    similar = lambda df: df.withColumn("cos", METRICS[metric](F.col("embedding"), q))
     if provider is None:
         scored = similar(base).orderBy(F.desc("cos"), "id").limit(p.candidates)
     else:
@@ -95,11 +103,11 @@ def search(memories: DataFrame, edges: DataFrame | None, q: Sequence[float], opt
     return Search(hits, p, stages)
 
 
-def facade_search(memories: DataFrame, edges: DataFrame, q: Sequence[float], k: int, collection: str | None = None, metadata: dict[str, str] | None = None, provider: Provider | None = None) -> DataFrame:
-    """(id, score) of the simple call: one hop, no time range. In a collection four times as many are fetched first."""
+def facade_search(memories: DataFrame, edges: DataFrame, q: Sequence[float], k: int, collection: str | None = None, metadata: dict[str, str] | None = None, provider: Provider | None = None, **options) -> DataFrame:
+    """(id, score) of the simple call: one hop, no time range. In a collection four times as many are fetched first. ``options``: policy, embed and metric, as in ``search``."""
     if collection is None:
-        return search(memories, edges, q, Options(top_k=k, metadata=metadata), provider=provider).hits.select("id", F.col("final_score").alias("score"))
-    found = search(memories, edges, q, Options(top_k=4 * k, collection=collection, metadata=metadata), provider=provider).hits
+        return search(memories, edges, q, Options(top_k=k, metadata=metadata), provider=provider, **options).hits.select("id", F.col("final_score").alias("score"))
+    found = search(memories, edges, q, Options(top_k=4 * k, collection=collection, metadata=metadata), provider=provider, **options).hits
     inside = memories.where(F.col("collection") == collection).select("id")
     return top(found.select("id", F.col("final_score").alias("score")).join(inside, "id", "left_semi"), k)
 
@@ -119,12 +127,12 @@ def recency_boost(hits: DataFrame, memories: DataFrame, now: int) -> DataFrame:
     return hits.join(memories.select("id", "created_at"), "id", "left").select("id", F.coalesce(boosted, "score").alias("score"))
 
 
-def client_search(memories: DataFrame, edges: DataFrame, q: Sequence[float], limit: int = 5, collections: list[str] | None = None, metadata: dict[str, str] | None = None, use_graph: bool = False, recency_bias: bool = False, now: int = 0, provider: Provider | None = None) -> DataFrame:
+def client_search(memories: DataFrame, edges: DataFrame, q: Sequence[float], limit: int = 5, collections: list[str] | None = None, metadata: dict[str, str] | None = None, use_graph: bool = False, recency_bias: bool = False, now: int = 0, provider: Provider | None = None, **options) -> DataFrame:
     """(id, score): search each collection, merge, boost, sort, cut."""
     if collections is None:
-        hits = facade_search(memories, edges, q, limit, None, metadata, provider)
+        hits = facade_search(memories, edges, q, limit, None, metadata, provider, **options)
     else:
-        parts = [facade_search(memories, edges, q, limit, c, metadata, provider) for c in dict.fromkeys(collections)]
+        parts = [facade_search(memories, edges, q, limit, c, metadata, provider, **options) for c in dict.fromkeys(collections)]
         hits = parts[0]
         for part in parts[1:]:
             hits = hits.unionByName(part)

@@ -32,8 +32,15 @@ def range_ids(memories: DataFrame, start: int, end: int, strict: bool = False) -
     return require_rows(ids) if strict else ids
 
 
-def count_in_range(memories: DataFrame, start: int, end: int) -> DataFrame:
-    return in_range(memories, start, end).agg(F.count(F.lit(1)).alias("n"))
+def range_with_count(memories: DataFrame, start: int, end: int, strict: bool = False) -> tuple[DataFrame, int]:
+    """(ids of a range in order, how many they are)."""
+    ids = range_ids(memories, start, end, strict)
+    return ids, in_range(memories, start, end).count()
+
+
+def count_in_range(memories: DataFrame, start: int, end: int, strict: bool = False) -> DataFrame:
+    inside = in_range(memories, start, end)
+    return (require_rows(inside) if strict else inside).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bounds(memories: DataFrame) -> DataFrame:
@@ -41,18 +48,22 @@ def bounds(memories: DataFrame) -> DataFrame:
     return memories.agg(F.min("created_at").alias("earliest"), F.max("created_at").alias("latest"))
 
 
-def before(memories: DataFrame, ts: int) -> DataFrame:
-    """Ids created before ``ts``, the marks for eviction; none for 0."""
-    return memories.where(F.col("created_at") < ts if ts else F.lit(False)).select("id").orderBy("id")
+def before(memories: DataFrame, ts: int, strict: bool = False) -> DataFrame:
+    """Ids created before ``ts``, the marks for eviction; none for 0. With ``strict`` it is an error if there are none."""
+    ids = memories.where(F.col("created_at") < ts if ts else F.lit(False)).select("id").orderBy("id")
+    return require_rows(ids) if strict else ids
 
 
-def recent(memories: DataFrame, ts: int) -> DataFrame:
-    return memories.where(F.col("created_at") >= ts).select("id").orderBy("id")
+def recent(memories: DataFrame, ts: int, strict: bool = False) -> DataFrame:
+    ids = memories.where(F.col("created_at") >= ts).select("id").orderBy("id")
+    return require_rows(ids) if strict else ids
 
 
-def oldest(memories: DataFrame, n: int) -> DataFrame:
-    return memories.select("id", "created_at").orderBy("created_at", "id").limit(n)
+def oldest(memories: DataFrame, n: int, strict: bool = False) -> DataFrame:
+    rows = memories.select("id", "created_at").orderBy("created_at", "id").limit(n)
+    return require_rows(rows) if strict else rows
 
 
-def newest(memories: DataFrame, n: int) -> DataFrame:
-    return memories.select("id", "created_at").orderBy(F.desc("created_at"), "id").limit(n)
+def newest(memories: DataFrame, n: int, strict: bool = False) -> DataFrame:
+    rows = memories.select("id", "created_at").orderBy(F.desc("created_at"), "id").limit(n)
+    return require_rows(rows) if strict else rows

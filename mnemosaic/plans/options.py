@@ -47,9 +47,10 @@ class Anchors:
 class IntentPolicy:
     """Texts of the anchors, hop thresholds and the share of importance."""
 
-    semantic_text: str = "meaning, topic, similar content"
-    recency_text: str = "recent, latest, newest"
-    graph_text: str = "related, connected, linked"
+    # Other texts give other anchors.
+    semantic_text: str = "semantic meaning, similar content, concept match"
+    recency_text: str = "recent events, latest updates, time, timeline, schedule"
+    graph_text: str = "relationships, connections, linked people, social graph"
     two_hops: float = 0.55
     three_hops: float = 0.80
     importance: int = 20

@@ -67,17 +67,20 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, file_size, extension, parts): parts are paragraphs of .docx and pages of .pdf, else NULL."""
+    """(filename, file_size, extension, paragraph_count, page_count); the counts of .docx and .pdf, else NULL."""
     suffix = _suffix(path)
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     base = [name.alias("filename"), F.col("length").alias("file_size"), F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("extension")]
-    if suffix not in (".docx", ".pdf"):
-        return files.select(*base, F.lit(None).cast("int").alias("parts"))
-    count = _docx_paragraphs if suffix == ".docx" else _pdf_pages
+    kinds = {".docx": _docx_paragraphs, ".pdf": _pdf_pages}
+    if suffix not in kinds:
+        return files.select(*base, F.lit(None).cast("int").alias("paragraph_count"), F.lit(None).cast("int").alias("page_count"))
+    count = kinds[suffix]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(count(x)) for x in b.column(3).to_pylist()], pa.int32())], names=["filename", "file_size", "extension", "parts"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(count(x)) for x in b.column(3).to_pylist()], pa.int32())], names=["filename", "file_size", "extension", "n"])
 
-    return files.select(*base, "content").mapInArrow(run, "filename string, file_size long, extension string, parts int")
+    counted = files.select(*base, "content").mapInArrow(run, "filename string, file_size long, extension string, n int")
+    n, none = F.col("n"), F.lit(None).cast("int")
+    return counted.select("filename", "file_size", "extension", (n if suffix == ".docx" else none).alias("paragraph_count"), (n if suffix == ".pdf" else none).alias("page_count"))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import StorageError
+from ..runtime import materialize, numbered
+from ..schema import DEFAULT_COLLECTION
 
 VERSION = "1.0"
 OPERATION_SCHEMA = "op string, id long, text string, embedding array<float>, collection string, metadata map<string,string>, id1 long, id2 long, from_id long, to_id long, relation string, _corrupt string"
@@ -63,7 +65,7 @@ def read_operations(spark: SparkSession, path: str) -> DataFrame:
 def valid_prefix(ops: DataFrame) -> DataFrame:
     """The operations before the first line that cannot be read: what a torn log still holds for sure."""
     place = F.struct("file", "block", "line")
-    torn = ops.where("_corrupt IS NOT NULL OR op IS NULL").agg(F.min(place).alias("torn"))  # one row
+    torn = ops.where("_corrupt IS NOT NULL").agg(F.min(place).alias("torn"))  # one row
     return ops.crossJoin(F.broadcast(torn)).where(F.col("torn").isNull() | (place < F.col("torn"))).drop("torn")
 
 
@@ -107,10 +109,41 @@ class ReplayWriter:
         self.close()
 
 
-def operations(spark: SparkSession, path: str) -> Iterator[dict]:
-    """The operations in order, one at a time on the driver, for replays that stop at the first failure."""
-    for r in read_operations(spark, path).orderBy("file", "block", "line").toLocalIterator():
-        yield {k: v for k, v in r.asDict(recursive=True).items() if v is not None}
+def planned(ops: DataFrame, dimension: int, first: int, now: int) -> DataFrame:
+    """Every operation with what becomes of it: n, op, state (done, failed, unmapped, unknown) and, of those done, the command with new ids.
+
+    Adds get ids from ``first`` on in the order of the log. The ends of a
+    connect and the id of a delete mean the last add of that id before them. An
+    add without a vector of ``dimension`` fails, so does what touches a memory
+    that was deleted before, or connects two collections; an id that was never
+    added is unmapped. All that is a fixed number of joins and windows over the
+    table of operations, whatever its length.
+    """
+    o = materialize(numbered(ops, ["file", "block", "line"], "n").drop("file", "block", "line", "_corrupt"), "operations")
+    fits = F.coalesce((F.col("op") == "add") & (F.size("embedding") == dimension), F.lit(False))
+    collection = F.coalesce("collection", F.lit(DEFAULT_COLLECTION))
+    adds = materialize(numbered(o.where(fits).select("n", F.col("id").alias("old"), collection.alias("where")), ["n"], "new", first), "adds")
+    spans = adds.where("old IS NOT NULL").withColumn("until", F.lead("n").over(Window.partitionBy("old").orderBy("n"))).withColumnRenamed("n", "since")
+    given = lambda a, b: F.coalesce(F.when(F.col(a) != 0, F.col(a)), b)
+    ends = F.when(F.col("op") == "connect", F.array(F.struct(F.lit(1).alias("end"), given("id1", "from_id").alias("old")), F.struct(F.lit(2).alias("end"), given("id2", "to_id").alias("old")))).otherwise(F.array(F.struct(F.lit(1).alias("end"), F.col("id").alias("old"))))
+    asked = o.where(F.col("op").isin("connect", "delete")).select("n", "op", F.explode(ends).alias("x")).select("n", "op", "x.end", "x.old")
+    inside = (asked["old"] == spans["old"]) & (F.col("since") < F.col("n")) & (F.col("until").isNull() | (F.col("n") < F.col("until")))
+    meant = materialize(asked.join(spans, inside, "left").select("n", "op", "end", "new", "where"), "meant")
+    gone = meant.where("op = 'delete' AND new IS NOT NULL").groupBy("new").agg(F.min("n").alias("gone"))
+    there = F.col("gone").isNull() | (F.col("n") < F.col("gone")) | ((F.col("op") == "delete") & (F.col("n") == F.col("gone")))
+    of = lambda end, c: F.max(F.when(F.col("end") == end, F.col(c)))
+    judged = meant.join(gone, "new", "left").groupBy("n").agg(of(1, "new").alias("a"), of(2, "new").alias("b"), F.count_if(F.col("new").isNull()).alias("unmapped"), F.count_if(F.col("new").isNotNull() & ~there).alias("absent"), F.count_distinct("where").alias("places"))
+    state = (
+        F.when(F.col("op") == "add", F.when(F.col("new").isNotNull(), "done").otherwise("failed"))
+        .when(~F.coalesce(F.col("op").isin("connect", "delete"), F.lit(False)), "unknown")
+        .when(F.col("unmapped") > 0, "unmapped")
+        .when((F.col("absent") > 0) | (F.col("places") > 1), "failed")
+        .otherwise("done")
+    )
+    memory = F.struct(F.col("new").alias("id"), collection.alias("collection"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), "embedding", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), F.lit(now).cast("long").alias("created_at"), F.lit(0.0).cast("float").alias("importance"))
+    whole = o.join(adds.select("n", "new"), "n", "left").join(judged, "n", "left")
+    connects = F.col("op") == "connect"
+    return whole.select("n", "op", state.alias("state"), F.when(connects, None).otherwise(F.coalesce("new", "a")).cast("long").alias("id"), F.when(F.col("op") == "add", memory).alias("memory"), F.when(connects, F.col("a")).alias("src"), F.when(connects, F.col("b")).alias("dst"), F.when(connects, F.coalesce("relation", F.lit(""))).alias("relation"))
 
 
 def export(memories: DataFrame, path: str, dimension: int, edges: DataFrame | None = None) -> dict[str, int]:

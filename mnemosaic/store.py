@@ -158,6 +158,10 @@ class MemoryStore:
         names = [f"{self.path}/_log/{n:019d}" for n in self._log_ends(current["seq"])]
         return self.spark.read.schema(COMMAND_SCHEMA).parquet(*names) if names else self.spark.createDataFrame([], COMMAND_SCHEMA)
 
+    @property
+    def next_id(self) -> int:
+        return self._next_id
+
     def snapshot(self) -> Snapshot:
         current = self._current()
         log = self._commands(current)

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,11 +58,51 @@ def test_upsert_bulk_and_capacity(spark, tmp_path):
 def test_sync_policies(spark, tmp_path):
     with pytest.raises(errors.ConfigError):
         SyncPolicy.of("often")
-    with MemoryStore(spark, f"file://{tmp_path}/db", 1, "async") as s:
+    with MemoryStore(spark, f"file://{tmp_path}/db", 1, SyncPolicy("async", 100, 3600)) as s:
         s.add("a", [1])
         assert len(s) == 0
         s.flush()
         assert len(s) == 1
+    with MemoryStore(spark, f"file://{tmp_path}/timed", 1, SyncPolicy("batch", 100, 0.1)) as s:
+        s.add("a", [1])
+        for _ in range(300):  # no further call commits it, the timer does
+            if s._log_ends():
+                break
+            time.sleep(0.1)
+        assert len(s) == 1
+
+
+def test_a_broken_checkpoint_leaves_the_store_readable(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/db"
+    with MemoryStore(spark, path, 1) as s:
+        s.add("a", [1])
+        s.checkpoint()
+        s.add("b", [1])
+        with monkeypatch.context() as m:
+            m.setattr(s, "_write", lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                s.checkpoint()
+        assert sorted(ids(MemoryStore(spark, path, read_only=True).memories())) == [1, 2]
+        assert s.checkpoint() == 2 and len(s) == 2
+        plan = s.memories().where("collection = 'default'")._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [(coalesce(collection" in plan
+
+
+def test_log_over_a_checkpoint(spark, tmp_path):
+    with MemoryStore(spark, f"file://{tmp_path}/db", 1, limit=Capacity(max_entries=4)) as s:
+        a, b, c = s.add_many([{"content": x, "embedding": [1]} for x in "abc"])
+        s.connect(a, b, "r"), s.connect(b, c, "r"), s.connect(a, c, "x")
+        s.checkpoint()
+        s.disconnect(a, b)
+        s.connect(a, c, "y"), s.connect(a, c, "x")
+        assert sorted(tuple(r) for r in s.edges().collect()) == [(a, c, "x"), (a, c, "y"), (b, c, "r")]
+        s.delete(b)
+        assert sorted(tuple(r) for r in s.edges().collect()) == [(a, c, "x"), (a, c, "y")]
+        with pytest.raises(errors.DimensionMismatchError):
+            s.upsert(s.memories().withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>")))
+        assert s.last_eviction.evicted == []
+        s.add_many([{"content": x, "embedding": [1], "created_at": 10**10} for x in "defg"])
+        assert s.last_eviction.evicted == [a, c] and s._usage[0] == len(s) == 4
 
 
 def test_client(spark, tmp_path):
@@ -110,6 +151,12 @@ def test_replay_failures(spark, tmp_path):
     c = Client.replay(spark, path, f"file://{tmp_path}/b", strict=False)
     assert c.last_replay_report == {"checked": 4, "exported": 1, "skipped": 3, "failed": 1, "op_counts": {"add": 2, "what": 1, "unknown": 1, "connect": 1}}
     c.close()
+    torn = lines[:2] + [{"op": "add", "id": 5, "embedding": [0.0, 1.0]}, {"op": "delete", "id": 5}, {"op": "add", "id": 5, "embedding": [1.0, 1.0]}, {"op": "connect", "id1": 1, "id2": 5, "relation": "r"}, {"op": "delete", "id": 77}]
+    (tmp_path / "torn").write_text("\n".join(map(json.dumps, torn)) + '\n{"op": "ad\n' + json.dumps(torn[1]))
+    c = Client.replay(spark, f"file://{tmp_path}/torn", f"file://{tmp_path}/c")
+    assert c.last_replay_report == {"checked": 6, "exported": 5, "skipped": 1, "failed": 0, "op_counts": {"add": 3, "connect": 1, "delete": 2}, "torn": True}
+    assert sorted(ids(c.store.memories())) == [1, 3] and [tuple(r) for r in c.store.edges().collect()] == [(1, 3, "r")]
+    c.close()
     with pytest.raises(errors.StorageError):
         replay.parse_header('{"x_replay": "2.0", "dimension": 2}')
     with pytest.raises(errors.StorageError):
@@ -137,6 +184,10 @@ def test_stream_of_commands(spark, tmp_path):
         q = command_stream.into_store(command_stream.read_commands(spark, f"{tmp_path}/in"), s, f"{tmp_path}/check")
         q.awaitTermination(120)
         assert sorted(ids(s.memories())) == [1, 2] and s.edges().count() == 1
+        again = spark.read.parquet(f"{tmp_path}/in")
+        assert s.apply_commands(again, (f"{tmp_path}/check", 0)) == 0  # a batch that is sent again
+        s.checkpoint()
+        assert s.apply_commands(again, (f"{tmp_path}/check", 0)) == 0
 
 
 def test_index_modes(spark, tmp_path):
@@ -147,6 +198,12 @@ def test_index_modes(spark, tmp_path):
         for mode in ("prefix", {"type": "hnsw", "probes": 99}):
             c.set_index_mode(mode)
             assert ids(c.search(vector=[1.0, 0.0], limit=3)) == exact
+        built = c._inverted
+        c.search(vector=[1.0, 0.0], limit=3)
+        assert c._inverted is built
+        c.set_index_mode({"type": "exact", "metric": "l2"})
+        far = c.add(vector=[0.9, 0.0])
+        assert ids(c.search(vector=[0.9, 0.0], limit=2)) == [far, first] and ids(c.search(vector=[1.0, 0.0], limit=1)) == [first]
 
 
 def test_valid_prefix_of_a_torn_log(spark, tmp_path):
