@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from ..functions.vector import check_query, magnitude
 from . import vector_search
 
-FIT_ROWS = 50_000  # rows the centres are fitted on; every row is indexed
+FIT_ROWS = 50_000  # rows the centres are fitted on, or CELL_SAMPLE for each cell if that is more; every row is indexed
+CELL_SAMPLE = 32
+QUERIES_IN_TASK = 262_144  # queries of one cell that one task ranks at most
 LEAST_PROBES = 8
-PROBED_SHARE = 1 / 12  # of the cells; a fixed number of probes loses recall as the cells grow with the table
+PROBED_SHARE = 1 / 10  # of the cells; a fixed number of probes loses recall as the cells grow with the table
 
 
 def default_probes(cells: int) -> int:
@@ -37,7 +39,8 @@ class InvertedFile:
     def build(cls, memories: DataFrame, cells: int | None = None, seed: int = 42, fit_rows: int = FIT_ROWS) -> InvertedFile:
         base = memories.where("embedding IS NOT NULL").withColumn("__n", magnitude(F.col("embedding"))).where("__n > 0")
         n = base.count()
-        cells = cells or max(1, min(4096, round(n**0.5)))
+        cells = cells or max(1, round(n**0.5))
+        fit_rows = max(fit_rows, CELL_SAMPLE * cells)
         unit = base.withColumn("__v", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.col("__n"))))
         fit = unit.select("id", "__v").where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)) < min(1.0, fit_rows / max(n, 1)))
         model = KMeans(k=cells, seed=seed, featuresCol="__v", predictionCol="cell", maxIter=15).fit(fit)
@@ -64,39 +67,22 @@ class InvertedFile:
         blocks = spark.createDataFrame([(c, -(-n // block_rows)) for c, n in counts.items()], "cell int, blocks int")
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                q = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-                if not b.num_rows:
-                    continue
-                norms = np.linalg.norm(q, axis=1, keepdims=True)
-                u = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
-                near = ((u[:, None, :] - centres[None, :, :]) ** 2).sum(2) if b.num_rows * centres.size < 1 << 24 else (centres**2).sum(1)[None, :] - 2 * u @ centres.T
-                cells = np.argsort(near, axis=1, kind="stable")[:, :probes]
-                take = pa.array(np.repeat(np.arange(b.num_rows), probes))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), b.column(0).take(take), b.column(1).take(take)], names=["cell", "query_id", "embedding"])
-
-        def rank(asked: pa.Table, rows: pa.Table) -> pa.Table:
-            none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            if not asked.num_rows or not rows.num_rows:
-                return none
-            unit = []
-            for t in (asked, rows):
-                x = np.array(t["embedding"].to_pylist(), np.float64)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                unit.append(np.divide(x, n, out=np.zeros_like(x), where=n > 0))
-            ids, qids = rows["id"].to_numpy(), asked["query_id"].to_numpy()
-            s = unit[0] @ unit[1].T
-            i = np.broadcast_to(ids, s.shape)
-            if s.shape[1] > k:
-                keep = vector_search._best(s, i, k)
-                s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-            return pa.table({"query_id": np.repeat(qids, s.shape[1]), "id": np.ascontiguousarray(i).ravel(), "score": s.ravel()})
+            lengths = (centres**2).sum(1)[None, :]
+            for batch in batches:
+                for a in range(0, batch.num_rows, 4096):
+                    b = batch.slice(a, 4096)
+                    fits, u = vector_search._unit_rows(b.column(1), centres.shape[1])
+                    cells = np.argsort(lengths - 2 * u @ centres.T, axis=1, kind="stable")[:, :probes]
+                    take = pa.array(np.repeat(fits, probes))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), b.column(0).take(take), b.column(1).take(take)], names=["cell", "query_id", "embedding"])
 
         routed = queries.where("embedding IS NOT NULL").select("query_id", "embedding").mapInArrow(route, "cell int, query_id long, embedding array<float>")
         sized = F.broadcast(blocks)  # a row for each cell
-        left = routed.join(sized, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "embedding")
-        right = self.rows.join(sized, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "embedding")
-        found = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(rank, "query_id long, id long, score double")
+        parts = max(1, -(-queries.count() // QUERIES_IN_TASK))
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = routed.join(sized, "cell").select("cell", every(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), "query_id", "embedding")
+        right = self.rows.join(sized, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), every(F.lit(parts)).alias("part"), "id", "embedding")
+        found = left.groupBy("cell", "block", "part").cogroup(right.groupBy("cell", "block", "part")).applyInArrow(lambda asked, rows: vector_search.rank_tables(asked, rows, k), vector_search._SCORES)
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -125,29 +125,33 @@ def _scan_for(memories: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int)
     return memories.mapInArrow(run, _SCORES)
 
 
+def rank_tables(asked: pa.Table, some: pa.Table, k: int) -> pa.Table:
+    """The k best rows of one table for each query of another, 512 queries at a time."""
+    none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    if not asked.num_rows or not some.num_rows:
+        return none
+    q, rows = (pa.concat_arrays(t["embedding"].chunks) for t in (asked, some))
+    kept, x = _unit_rows(q, len(q[0]))
+    fits, y = _unit_rows(rows, len(q[0]))
+    if not len(fits):
+        return none
+    ids, own = asked["query_id"].to_numpy()[kept], some["id"].to_numpy()[fits]
+    out = []
+    for a in range(0, len(ids), 512):
+        s = x[a : a + 512] @ y.T
+        s, i = _cut(s, np.broadcast_to(own, s.shape), k)
+        out.append(pa.table(_score_table(ids[a : a + 512], i, s)))
+    return pa.concat_tables(out)
+
+
 def _meet_in_blocks(memories: DataFrame, queries: DataFrame, n: int, rows: int, k: int) -> DataFrame:
     """Any number of queries: blocks of queries meet blocks of memories, each pair in a task of its own."""
     qs, bs = -(-n // QUERIES_AT_ONCE), max(1, -(-rows // ROWS_AT_ONCE))
 
-    def rank(asked: pa.Table, some: pa.Table) -> pa.Table:
-        if not asked.num_rows or not some.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q = asked["embedding"].combine_chunks()
-        d = len(q[0])
-        kept, x = _unit_rows(q, d)
-        fits, y = _unit_rows(some["embedding"].combine_chunks(), d)
-        ids, own = asked["query_id"].to_numpy()[kept], some["id"].to_numpy()[fits]
-        out = []
-        for a in range(0, len(ids), 512):
-            s = x[a : a + 512] @ y.T
-            s, i = _cut(s, np.broadcast_to(own, s.shape), k)
-            out.append(pa.table(_score_table(ids[a : a + 512], i, s)))
-        return pa.concat_tables(out)
-
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(qs)).cast("int").alias("q"), every(bs).alias("b"), "query_id", "embedding")
     right = memories.select(F.pmod(F.xxhash64("id"), F.lit(bs)).cast("int").alias("b"), every(qs).alias("q"), "id", "embedding").select("q", "b", "id", "embedding")
-    return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(rank, _SCORES)
+    return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(lambda asked, some: rank_tables(asked, some, k), _SCORES)
 
 
 def knn_batch(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:

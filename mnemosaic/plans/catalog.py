@@ -17,7 +17,7 @@ from ..operators.vector_search import top
 from ..runtime import numbered, read_table
 from ..sources.commands import log_commands
 from ..sources.tables import EDGES_SQL, MEMORIES_SQL, edges, memories
-from .options import Options, Weights
+from .options import Anchors, Options, Weights, infer_intent
 
 Query = Callable[[SparkSession, str], DataFrame]
 START, END = 1_710_000_000, 1_740_000_000
@@ -79,9 +79,12 @@ def scan_memories(spark, d):
     return memories(spark, d).select("id", "collection", F.octet_length("content").alias("content_bytes"), "created_at", _r("importance"))
 
 
-@query(_mem("SELECT id, collection, created_at FROM mem WHERE id = 42"))
+@query(_mem("SELECT id, collection, hex(content) AS content, round(list_sum(embedding), 4) AS embedding_sum, list_aggregate(list_sort(list_transform(map_entries(metadata), lambda e: e.key || '=' || e.value)), 'string_agg', ',') AS metadata, created_at, round(importance, 6) AS importance FROM mem WHERE id = 42"))
 def get_memory(spark, d):
-    return memories(spark, d).where("id = 42").select("id", "collection", "created_at")
+    """All seven fields of one memory."""
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    return memories(spark, d).where("id = 42").select("id", "collection", F.hex("content").alias("content"), total.alias("embedding_sum"), F.when(F.size("metadata") > 0, pairs).alias("metadata"), "created_at", _r("importance"))
 
 
 @query(_mem(f"SELECT id, collection FROM mem WHERE collection = {_COLL}"))
@@ -241,6 +244,20 @@ def graph_neighbors(spark, d):
     return graph.neighbours(e, _start(e))
 
 
+@query(_edg(f"SELECT dst AS id FROM edg WHERE src = {_START}"))
+def graph_neighbor_ids(spark, d):
+    e = edges(spark, d)
+    return graph.neighbour_ids(e, _start(e))
+
+
+@query(_edg(f"SELECT src, dst, relation FROM edg WHERE NOT (src = {_START} AND dst = (SELECT min(dst) FROM edg WHERE src = {_START}))"))
+def graph_disconnect(spark, d):
+    """All edges but those from the busiest memory to its smallest neighbour."""
+    e = edges(spark, d)
+    start = _start(e)
+    return graph.disconnect(e, start, graph.neighbours(e, start).first()["dst"])
+
+
 @query(_edg("SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT relation) AS relations FROM edg"))
 def graph_stats(spark, d):
     return edges(spark, d).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("relation").alias("relations"))
@@ -376,6 +393,20 @@ def comb_three_way(spark, d):
     return combined.similar_in_range_connected(m, e, _vector(m), START, END, _start(e), 3, 10).select("id", _r())
 
 
+def _weighted_sql(v: float, r: float, p: float) -> str:
+    return _edg(
+        f"""SELECT id, round(s * {v} + CASE WHEN hi = lo THEN 1.0 ELSE (created_at - lo)::DOUBLE / (hi - lo) END * {r} + p * {p}, 6) AS score
+FROM c, (SELECT min(created_at) AS lo, max(created_at) AS hi FROM c) ORDER BY score DESC, id LIMIT 10""",
+        _SCORED + _reach_sql(f"SELECT {_START} AS id", 3) + f", near AS ({_hops_sql(3)}), c AS (SELECT id, created_at, {_SIM} AS s, 1 - hops / 3.0::DOUBLE AS p FROM scored JOIN near USING (id) WHERE created_at BETWEEN {START} AND {END})",
+    )
+
+
+@query(_weighted_sql(0.3, 0.3, 0.4))
+def comb_weighted_given(spark, d):
+    m, e = memories(spark, d), edges(spark, d)
+    return combined.weighted_in_range_connected(m, e, _vector(m), START, END, _start(e), 3, 10, combined.RankingWeights(30, 30, 40)).select("id", _r())
+
+
 @query(
     _edg(
         """SELECT id, round(s * 0.7 + CASE WHEN hi = lo THEN 1.0 ELSE (created_at - lo)::DOUBLE / (hi - lo) END * 0.2 + p * 0.1, 6) AS score
@@ -446,6 +477,23 @@ def hyb_collection(spark, d):
     return hybrid.facade_search(m, edges(spark, d), _vector(m), 10, _collection(m)).select("id", _r())
 
 
+_INTENT = """
+, v AS (SELECT id, embedding AS e, row_number() OVER (ORDER BY id) AS r FROM mem WHERE embedding IS NOT NULL),
+a AS (SELECT r, e FROM v WHERE r <= 3),
+near AS (SELECT v.id, least(1, greatest(0, (list_cosine_similarity(v.e, x.e) + 1) / 2)) AS s, least(1, greatest(0, (list_cosine_similarity(v.e, y.e) + 1) / 2)) AS c, least(1, greatest(0, (list_cosine_similarity(v.e, z.e) + 1) / 2)) AS g
+  FROM v, a x, a y, a z WHERE x.r = 1 AND y.r = 2 AND z.r = 3 AND v.r BETWEEN 4 AND 203 AND list_dot_product(v.e, v.e) > 1e-6)
+SELECT id, floor(80 * s / (s + c) + 0.5)::INT AS similarity, 20 AS importance, 80 - floor(80 * s / (s + c) + 0.5)::INT AS recency, CASE WHEN g >= 0.8 THEN 3 WHEN g >= 0.55 THEN 2 ELSE 1 END AS hops FROM near"""
+
+
+@query(_mem(_INTENT))
+def intent_cases(spark, d):
+    """Weights and hops that 200 query vectors get by three anchors: the first memories with a vector are the anchors, the next ones the queries."""
+    rows = memories(spark, d).where("embedding IS NOT NULL").orderBy("id").select("id", "embedding").limit(203).collect()
+    anchors = Anchors(*(list(r["embedding"]) for r in rows[:3]))
+    found = [(r["id"], infer_intent(list(r["embedding"]), anchors)) for r in rows[3:]]
+    return spark.createDataFrame([(i, x.weights.similarity, x.weights.importance, x.weights.recency, x.hops) for i, x in found if x], "id long, similarity int, importance int, recency int, hops int")
+
+
 # Client -----------------------------------------------------------------------
 
 _FACADE = _hybrid_sql(25, hops=1, k=5)
@@ -577,7 +625,20 @@ def _chunks(spark, d, strategy: str, **options) -> DataFrame:
     return chunking.chunk_table(docs, ["doc_id"], strategy=strategy, **options)
 
 
-@query()
+# Words packed into chunks by recursion: from word f to the last word e that still fits; the next chunk begins with the earliest word of those that the overlap holds.
+_BLANK = r"[^ \t\n\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _fixed_sql(size: int, overlap: int, where: str = "true") -> str:
+    end = lambda f: f"coalesce(list_max(list_filter(range({f}, n + 1), lambda i: p[i + 1] - p[{f}] + i - {f} <= {size})), {f})"
+    return f"""w AS (SELECT doc_id, regexp_extract_all(text, '{_BLANK}') AS ws FROM documents WHERE text IS NOT NULL AND {where}),
+z AS (SELECT doc_id, ws, len(ws) AS n, list_concat([0], list_transform(range(1, len(ws) + 1), lambda i: list_sum(list_transform(ws[1:i], lambda x: strlen(x)))))::BIGINT[] AS p FROM w WHERE len(ws) > 0),
+k AS (SELECT doc_id, 0 AS index, 1::BIGINT AS f, {end("1")} AS e FROM z
+  UNION ALL SELECT doc_id, index + 1, g, {end("g")} FROM (SELECT k.doc_id, index, z.n, z.p, greatest(f + 1, coalesce(list_min(list_filter(range(f, e + 1), lambda b: p[e + 1] - p[b] + e - b <= {overlap})), e + 1)) AS g FROM k JOIN z USING (doc_id) WHERE e < n)),
+packed AS (SELECT doc_id, index::INT AS index, array_to_string(ws[f:e], ' ') AS text FROM k JOIN z USING (doc_id))"""
+
+
+@query(f"WITH RECURSIVE {_fixed_sql(512, 50)} SELECT doc_id, index, text FROM packed")
 def chunk_fixed(spark, d):
     return _chunks(spark, d, "fixed", size=512, overlap=50)
 
@@ -597,11 +658,26 @@ def chunk_markdown(spark, d):
     return _chunks(spark, d, "markdown", overlap=5)
 
 
-@query()
+@query(f"WITH RECURSIVE {_fixed_sql(400, 40, 'length(text) > 400')} SELECT doc_id, index, text FROM packed UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 400 AND len(regexp_extract_all(text, '{_BLANK}')) > 0")
 def chunk_legacy(spark, d):
     return _chunks(spark, d, "legacy", size=400, overlap=40)
 
 
+@query(f"SELECT doc_id, true AS counted, true AS filled, len(regexp_extract_all(text, '{_BLANK}')) AS recursive_words, len(regexp_extract_all(text, '{_BLANK}')) AS semantic_words, true AS within FROM documents WHERE len(regexp_extract_all(text, '{_BLANK}')) > 0")
+def chunk_check(spark, d):
+    """Without overlap the chunks of a text are numbered from 0, none is blank, they hold all its words, and a semantic chunk of more than one paragraph keeps to the section size."""
+    blank = _BLANK.replace(r"\x{", r"\x{")
+    words = lambda c: F.size(F.regexp_extract_all(c, F.lit(f"({blank})")))
+    r, s = _chunks(spark, d, "recursive", size=512, overlap=0), _chunks(spark, d, "semantic", overlap=0)
+    both = r.withColumn("kind", F.lit("r")).unionByName(s.withColumn("kind", F.lit("s")))
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    counted = F.lit(True)
+    for kind in "rs":
+        counted = counted & (F.max(of(kind, F.col("index"))) == F.count(of(kind, F.col("index"))) - 1) & (F.count_distinct(of(kind, F.col("index"))) == F.count(of(kind, F.col("index"))))
+    too_large = of("s", (F.octet_length("text") > chunking.SECTION_BYTES) & F.contains("text", F.lit("\n\n")))
+    return both.groupBy("doc_id").agg(counted.alias("counted"), F.bool_and(words(F.col("text")) > 0).alias("filled"), F.sum(of("r", words(F.col("text")))).alias("recursive_words"), F.sum(of("s", words(F.col("text")))).alias("semantic_words"), (~F.bool_or(F.coalesce(too_large, F.lit(False)))).alias("within"))
+
+
 @query("""WITH k AS (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events WHERE props IS NOT NULL) SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY key) - 1)::INT AS index, json_extract_string(props, '$."' || key || '"') AS text, key, json_extract_string(props, '$."' || key || '"') AS value FROM k""")
 def chunk_json_flat(spark, d):
     events = read_table(spark, d, "events").select("event_id", F.col("props").alias("text"))
@@ -627,10 +703,19 @@ def embed_hash(spark, d):
 
 @query()
 def ingest_documents(spark, d):
-    """Chunk, embed and number all documents as memories."""
+    """Chunk, embed and number all documents as memories: ids from 1 on in the order of documents and chunks."""
     docs = read_table(spark, d, "documents").select("doc_id", "text")
     chunks = chunking.chunk_table(docs, ["doc_id"], strategy="recursive", size=512, overlap=10)
-    return embedders.embed_table(chunks.select("doc_id", "index", "text"), embedders.HashEmbedder(64), "text", "embedding")
+    rows = embedders.embed_table(chunks.select("doc_id", "index", "text"), embedders.HashEmbedder(64), "text", "embedding")
+    rows = numbered(rows, ["doc_id", "index"], "id", 1)
+    return rows.select(F.col("id").cast("long").alias("id"), F.lit("default").alias("collection"), F.encode("text", "UTF-8").alias("content"), "embedding", F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string")).alias("metadata"), F.lit(NOW).cast("long").alias("created_at"), F.lit(0.0).cast("float").alias("importance"))
+
+
+@query(f"WITH RECURSIVE {_fixed_sql(512, 50)}, n AS (SELECT *, row_number() OVER (ORDER BY doc_id, index) AS id FROM packed) SELECT id, doc_id, index, strlen(text)::INT AS content_bytes, round((('0x' || sha256(text || '0')[1:8])::UBIGINT)::DOUBLE, 0) AS word FROM n")
+def ingest_numbered(spark, d):
+    """The numbering of an ingestion, with the first word that the embedder makes of each chunk."""
+    rows = numbered(_chunks(spark, d, "fixed", size=512, overlap=50), ["doc_id", "index"], "id", 1)
+    return rows.select(F.col("id").cast("long").alias("id"), "doc_id", "index", F.octet_length("text").alias("content_bytes"), F.conv(F.substring(F.sha2(F.concat("text", F.lit("0")), 256), 1, 8), 16, 10).cast("double").alias("word"))
 
 
 def queries() -> dict[str, Query]:
