@@ -92,15 +92,17 @@ def cascade(references: DataFrame, direct: DataFrame, hot_rows: int | None = Non
     refs = references.where("owner IS NOT NULL AND ref_id IS NOT NULL").select(columns).distinct()
     refs = materialize(refs.join(direct.select("record_id").distinct(), "record_id", "left_anti"), "references")
     hot = hot_keys(refs, "ref_id", hot_rows)
+    even = not hot.limit(1).count()  # asked once, not at each level
+    meet = lambda left, right: left.join(right, "ref_id") if even else skew_safe_join(left, right, "ref_id", "inner", hot=hot)
     front = direct.where("owner IS NOT NULL").select(F.col("owner").alias("ref_id")).distinct()
     front = materialize(front.withColumn("level", F.lit(1)), "front")
     done = front
     while front.limit(1).count():
-        hit = skew_safe_join(refs.select("ref_id", "owner"), front, "ref_id", "inner", hot=hot)
+        hit = meet(refs.select("ref_id", "owner"), front)
         new = hit.groupBy(F.col("owner").alias("ref_id")).agg((F.first("level") + 1).alias("level"))
         front = materialize(new.join(done, "ref_id", "left_anti"), "front")
         done = done.unionByName(front)
-    inherited = skew_safe_join(refs, done, "ref_id", "inner", hot=hot)
+    inherited = meet(refs, done)
     return direct.withColumn("level", F.lit(0)).unionByName(inherited.select(*columns, "level"))
 
 
