@@ -6,7 +6,8 @@ lie. Every vector of the table is indexed in its most probable partition; a
 query goes to every partition that holds its neighbours with at least the
 probability ``chance``, so to 1 / chance at most, and is ranked there exactly.
 Only the networks are fitted on samples: each row is indexed and each query is
-answered.
+answered. Where only neighbours of a least cosine are wanted (p5_found), no
+partition is left out: ``closeness`` finds them all.
 
 A sample can tell only so many partitions apart. A larger table is partitioned
 in levels: each partition is cut again by a network of its own, fitted on a
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from ..operators.vector_search import knn_batch
 from ..runtime import broadcast_if_below, materialize, read_table, skew_safe_join
+from .closeness import close_pairs, cosines
 from .sampling import bounded_sample
+from .vectors import EDGE, matrix, unit
 
 SAMPLE = 16_384  # vectors that the partitions and the network of a level are fitted on
 PARTITION_ROWS = 2_000  # rows aimed at in a partition of the last level
@@ -42,7 +45,6 @@ BLOCK = 8_192  # rows of a partition that one task searches
 QUERY_BLOCK = 32_768  # queries of one task
 ROUTED = 65_536  # rows that one task takes to the next level
 NEIGHBOURS = 10
-EDGE = 2e-6  # more than 32-bit scores can be wrong by
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -190,21 +192,6 @@ def usable(embedding: Column, size: int) -> Column:
     return F.coalesce((F.size(embedding) == size) & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
-    offsets = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    return flat.reshape(len(column), -1).astype(np.float32, copy=False)
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    """Unit rows; scaled before squaring, as components may be huge or tiny."""
-    x = x / np.abs(x).max(1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-
-
 _ROUTED = "part long, role byte, p double, rep long"
 
 
@@ -216,7 +203,7 @@ def _first_level(entries: DataFrame, router: Router, chance: float, vectors: boo
             for a in range(0, batch.num_rows, 4096):
                 some = batch.slice(a, 4096)
                 asks = some.column(1).to_numpy(zero_copy_only=False)
-                row, part, p, home = router.route(unit(_matrix(some.column(2))), chance)
+                row, part, p, home = router.route(unit(matrix(some.column(2))), chance)
                 use = home | asks[row]
                 row, part, p, home = row[use], part[use], p[use], home[use]
                 take = pa.array(row)
@@ -245,7 +232,7 @@ def _next_level(routed: DataFrame, entries: DataFrame, chance: float, levels_lef
 
     def learn(table: pa.Table) -> pa.Table:
         order = np.argsort(table["h"].to_numpy(), kind="stable")[:sample]
-        router = fit(unit(_matrix(table["vector"]))[order], parts_of_level(table["n"][0].as_py(), levels_left, partition_rows))
+        router = fit(unit(matrix(table["vector"]))[order], parts_of_level(table["n"][0].as_py(), levels_left, partition_rows))
         return pa.table({"part": table["part"].slice(0, 1), "router": pa.array([router.pack()], pa.binary())})
 
     routers = materialize(thin.join(vectors, "rep").groupBy("part").applyInArrow(learn, "part long, router binary"), "routers")
@@ -259,7 +246,7 @@ def _next_level(routed: DataFrame, entries: DataFrame, chance: float, levels_lef
             return pa.table({"part": pa.array([], pa.int64()), "role": pa.array([], pa.int8()), "p": pa.array([], pa.float64()), "rep": pa.array([], pa.int64())})
         router = Router.unpack(right["router"][0].as_py())
         role, before, rep = left["role"].to_numpy(), left["p"].to_numpy(), left["rep"].to_numpy()
-        x = unit(_matrix(left["vector"]))
+        x = unit(matrix(left["vector"]))
         found = []
         for a in range(0, len(x), 4096):
             row, part, p, home = router.route(x[a : a + 4096], (chance / before[a : a + 4096])[:, None])
@@ -292,9 +279,11 @@ def _in_blocks(routed: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _ranked_pairs(entries: DataFrame, count: int, k: int, chance: float, least: float | None, size: int, partition_rows: int, most: int) -> DataFrame:
-    """(q, n, cosine): the k best entries for each asking entry in each of its partitions' blocks, and those that tie with them."""
+    """(q, n, cosine): the k best entries for each asking entry in each of its partitions' blocks, and those that tie with them; with ``least`` in each pair of blocks of the table."""
     sample = bounded_sample(entries.select("rep", "vector"), "rep", count, most).select("vector").toArrow()
-    x = unit(_matrix(sample["vector"])) if sample.num_rows else np.empty((0, size), np.float32)
+    x = unit(matrix(sample["vector"])) if sample.num_rows else np.empty((0, size), np.float32)
+    if least is not None:
+        return close_pairs(entries, count, x, k, least)
     apart, levels = max(2, most // LEAST_SAMPLE), 1
     while apart**levels * partition_rows < count:
         levels += 1
@@ -311,7 +300,7 @@ def _ranked_pairs(entries: DataFrame, count: int, k: int, chance: float, least:
 
     def search(table: pa.Table) -> pa.Table:
         role, rep = table["role"].to_numpy(), table["rep"].to_numpy()
-        raw = _matrix(table["vector"])
+        raw = matrix(table["vector"])
         x = unit(raw)
         index, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         index = index[np.argsort(rep[index], kind="stable")]
@@ -323,26 +312,13 @@ def _ranked_pairs(entries: DataFrame, count: int, k: int, chance: float, least:
             own[own == len(index)] = 0
             mine = rep[index[own]] == rep[q]
             s[np.flatnonzero(mine), own[mine]] = -2
-            if least is not None:
-                r, c = np.nonzero(s >= least - 1e-5)
-                crowded = np.bincount(r, minlength=len(q)) > k
-                if crowded.any():
-                    keep = ~crowded[r]
-                    some = np.flatnonzero(crowded)
-                    y = s[some]
-                    r2, c2 = np.nonzero(y >= np.partition(y, y.shape[1] - k, axis=1)[:, [y.shape[1] - k]] - EDGE)
-                    r, c = np.append(r[keep], some[r2]), np.append(c[keep], c2)
-            else:
-                m = min(k, len(index))
-                r, c = np.nonzero(s >= np.maximum(np.partition(s, s.shape[1] - m, axis=1)[:, [s.shape[1] - m]] - EDGE, -1.5))
+            m = min(k, len(index))
+            r, c = np.nonzero(s >= np.maximum(np.partition(s, s.shape[1] - m, axis=1)[:, [s.shape[1] - m]] - EDGE, -1.5))
             found_q.append(q[r])
             found_n.append(index[c])
         q = np.concatenate(found_q) if found_q else np.empty(0, np.int64)
         n = np.concatenate(found_n) if found_n else np.empty(0, np.int64)
-        y, z = raw[q].astype(np.float64), raw[n].astype(np.float64)
-        y, z = y / np.abs(y).max(1, keepdims=True, initial=1e-300), z / np.abs(z).max(1, keepdims=True, initial=1e-300)
-        cosine = (y * z).sum(1) / np.sqrt((y * y).sum(1) * (z * z).sum(1))
-        return pa.table({"q": pa.array(rep[q], pa.int64()), "n": pa.array(rep[n], pa.int64()), "cosine": pa.array(np.round(cosine, 12), pa.float64())})
+        return pa.table({"q": pa.array(rep[q], pa.int64()), "n": pa.array(rep[n], pa.int64()), "cosine": pa.array(cosines(raw[q], raw[n]), pa.float64())})
 
     return _in_blocks(routed, sizes).groupBy("part", "i", "j").applyInArrow(search, "q long, n long, cosine double")
 
@@ -352,14 +328,16 @@ def nearest(vectors: DataFrame, k: int = 5, chance: float = 0.01, asks: Column |
 
     ``vectors`` has id and embedding; ``asks`` is a condition on id (all ids
     where None); ``least`` leaves out neighbours with a smaller cosine (ranks
-    are not changed by that). A query searches the partitions that hold its
-    neighbours with at least the probability ``chance``: a smaller one finds
-    more and costs more. ``sample`` vectors are what each network is fitted on.
+    are not changed by that), and then nothing is missed, at a cost that grows
+    with the square of the table. Without it a query searches the partitions
+    that hold its neighbours with at least the probability ``chance``: a smaller
+    one finds more and costs more. ``sample`` vectors are what each network is
+    fitted on.
 
     Embeddings that are null, of another length, with null, NaN or infinite
     components or all zero take no part, nor do null ids. Repeated rows count
     once. Ties (of cosines rounded to 12 digits) go by the smallest id that has
-    the same vector, then by id. An
+    the same vector, then by id; with ``least`` by id alone, as in SQL. An
     id with fewer than k others has as many as there are; an empty table gives
     an empty result. Other columns aren't read.
     """
@@ -376,13 +354,14 @@ def nearest(vectors: DataFrame, k: int = 5, chance: float = 0.01, asks: Column |
     members = skew_safe_join(members.withColumn("h", F.concat_ws(" ", "h1", "h2")), entries.select(F.concat_ws(" ", "h1", "h2").alias("h"), "rep"), "h", "inner").select("id", "rep", "asks")
     members = materialize(members, "members")
     first = members.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("at") <= k + 1).select(F.col("rep").alias("n"), F.col("id").alias("neighbour_id"), "at")
-    own = entries.where("asks").select(F.col("rep").alias("q"), F.col("rep").alias("n"), F.lit(2.0).alias("cosine"))
+    own = entries.where("asks").select(F.col("rep").alias("q"), F.col("rep").alias("n"), F.lit(2.0 if least is None else 1.0).alias("cosine"))
     if least is None:
         close = best.unionByName(own)
     else:
         close = best.where(F.col("cosine") >= least).unionByName(own)
+    order = ["n"] if least is None else []
     listed = close.join(first, "n")
-    listed = listed.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("s"), "n", "neighbour_id"))).alias("list")).where(F.size("list") > 1)
+    listed = listed.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("s"), *order, "neighbour_id"))).alias("list")).where(F.size("list") > 1)
     asking = members.where("asks").select("id", F.col("rep").alias("q"))
     lists = skew_safe_join(asking, listed, "q", "inner")
     others = F.slice(F.filter("list", lambda x: x["neighbour_id"] != F.col("id")), 1, k)
@@ -390,13 +369,12 @@ def nearest(vectors: DataFrame, k: int = 5, chance: float = 0.01, asks: Column |
     return out.select("id", F.col("x.neighbour_id").alias("neighbour_id"), F.least(-F.col("x.s"), F.lit(1.0)).alias("cosine"), (F.col("at") + 1).alias("rank"))
 
 
-#: Neighbours of a cosine of 0.9 or more lie in few partitions; the 5 nearest, however far, in more.
-FOUND_CHANCE, KNN_CHANCE = 0.06, 0.01
+KNN_CHANCE = 0.01
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a cosine of at least 0.9 of which one is among the 5 most similar of the other."""
-    near = nearest(read_table(spark, sf_dir, "memories"), k=5, chance=FOUND_CHANCE, least=0.9)
+    near = nearest(read_table(spark, sf_dir, "memories"), k=5, least=0.9)
     return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from mnemosaic.llm import closeness as C
 from mnemosaic.llm import knn as K
 
 VECTORS = "id long, embedding array<float>, rep long, q long, n string"  # the last three clash with names inside
@@ -111,3 +112,70 @@ def test_hot_copies(spark, monkeypatch):
     rows = rows_of(np.random.default_rng(5), 10)
     rows += [(100 + k, rows[0][1]) for k in range(7)]
     assert lists(K.nearest(table(spark, rows), k=5, size=8)) == brute(rows, 5, 8)
+
+
+def close(rows, k, least):
+    """Pairs as in the SQL of p5_found."""
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    c = x @ x.T / np.sqrt(np.outer((x * x).sum(1), (x * x).sum(1)))
+    np.fill_diagonal(c, -2)
+    out = set()
+    for a, s in enumerate(c):
+        near = sorted((-round(s[b], 12), ids[b]) for b in np.flatnonzero(s >= least))[:k]
+        out |= {(int(min(ids[a], j)), int(max(ids[a], j))) for _, j in near}
+    return out
+
+
+def pairs(df):
+    return {(min(r["id"], r["neighbour_id"]), max(r["id"], r["neighbour_id"])) for r in df.collect()}
+
+
+def test_least_misses_nothing(spark, monkeypatch):
+    """However unlikely the router thinks a partition, and however many blocks and files there are."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(350, 8))
+    rows = [(3 * k, v.tolist()) for k, v in enumerate(np.concatenate([x, x + rng.normal(size=x.shape) * 0.3]))]
+    want = close(rows, 5, 0.9)
+    assert len(want) > 350
+    assert pairs(K.nearest(table(spark, rows), k=5, size=8, least=0.9, chance=0.06, partition_rows=30, sample=240)) == want
+    monkeypatch.setattr(C, "LEAST_ROWS", 20)
+    monkeypatch.setattr(C, "BLOCK_ROWS", 60)
+    assert C.depth_of(700) == 4
+    assert pairs(K.nearest(table(spark, rows), k=5, size=8, least=0.9)) == want
+    asked = K.nearest(table(spark, rows), k=5, size=8, least=0.9, asks=F.col("id") < 300)
+    every = lists(K.nearest(table(spark, rows), k=5, size=8, least=0.9))
+    assert lists(asked) == {i: v for i, v in every.items() if i < 300}
+
+
+def test_least_ties_go_by_id(spark):
+    """Copies and multiples of a vector are equally similar."""
+    v = np.random.default_rng(8).normal(size=8).astype(np.float32)
+    rows = [(i, (v * f).tolist()) for i, f in [(1, 2), (2, 0.5), (3, 4), *((k, 1) for k in range(10, 20)), (30, 8)]]
+    assert pairs(K.nearest(table(spark, rows), k=5, size=8, least=0.9)) == close(rows, 5, 0.9)
+
+
+def test_close_rows(monkeypatch):
+    """Leaves, crowds and bounds on any spectrum, the pairs of one block and of two."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(C, "HELD", 500)
+    monkeypatch.setattr(C, "SLAB", 10)
+    for leaf, axes, data in ((16, 3, rng.normal(size=(400, 6))), (64, 2, rng.normal(size=(400, 6)) + 1.5), (32, 24, rng.normal(size=(400, 2)) @ rng.normal(size=(2, 6))), (400, 4, rng.normal(size=(400, 6)) * 0.1 + 1)):
+        monkeypatch.setattr(C, "LEAF", leaf)
+        monkeypatch.setattr(C, "AXES", axes)
+        x = K.unit(data)
+        x1 = C.turned(x, C.axes(x[:50]))
+        s = (x @ x.T).astype(np.float64)
+        np.fill_diagonal(s, -2)
+        for same in (True, False):
+            t = s.copy()
+            if not same:
+                t[:150, :150] = t[150:, 150:] = -2
+                q, n = C.close_rows(x[:150], x1[:150], x[150:], x1[150:], False, 3, 0.9)
+            else:
+                q, n = C.close_rows(x, x1, x, x1, True, 3, 0.9)
+            got = set(zip(q.tolist(), n.tolist()))
+            assert len(got) == len(q)
+            last = np.sort(t, axis=1)[:, -3]
+            assert got >= {(a, b) for a, b in zip(*np.nonzero((t >= np.maximum(last, 0.9)[:, None])), strict=True)}
+            assert not [1 for a, b in got if t[a, b] < max(last[a], 0.9) - 5e-5]
